@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = written(bands.join(leaders, "key"), "bands")
 
     ends = bands.select("node").distinct()
-    texts = written(base.join(ends.join(reps.select("node", "uid", "th"), "node"), ["uid", "th"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = written(base.join(ends.join(reps.select("node", "uid", "th"), "node").hint("merge"), ["uid", "th"]).select("node", "text").dropDuplicates(["node"]), "texts")
     s = reps.select("node", "n", "sketch")
 
     def test(pairs: DataFrame, tag: str) -> DataFrame:
