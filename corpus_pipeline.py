@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id; rows that repeat an id go once."""
     kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(written(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return docs.join(written(kept, "kept").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     times = mix(docs).filter("times > 0").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "times").groupBy("__id", "__th").agg(F.max("times").alias("times"))
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key("text") == F.col("__th")))
+    rows = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key("text") == F.col("__th")))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
 
 
