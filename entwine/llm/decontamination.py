@@ -62,7 +62,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     likely = written(met.filter("met >= need").select("uid", "th", "item"), "candidates")
 
     listed = likely.groupBy("uid", "th").agg(F.collect_set("item").alias("items"))
-    again = shingles(base.join(listed, ["uid", "th"]), "text", shingle, "uid", "doc_id", "th", "items")
+    again = shingles(base.join(listed.hint("merge"), ["uid", "th"]), "text", shingle, "uid", "doc_id", "th", "items")
     both = again.join(sets.select("item", F.col("h")), "h").filter(F.array_contains("items", F.col("item"))).groupBy("uid", "doc_id", "th", "item").agg(F.count_distinct("h").alias("n_common"))
     out = both.join(sized, "item").filter(100 * F.col("n_common") >= percent * F.col("n"))
     return out.select("doc_id", "th", "item_id", F.col("n").cast("long").alias("n_item"), "n_common")
@@ -72,7 +72,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
     """The rows of docs that hold no item, unchanged."""
     found = written(find_items(docs, items, **kw).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct(), "found")
     key = kw.get("id_col", "doc_id")
-    return docs.join(found, F.col(key).eqNullSafe(F.col("__id")) & (text_key(kw.get("text_col", "text")) == F.col("__th")), "left_anti")
+    return docs.join(found.hint("merge"), F.col(key).eqNullSafe(F.col("__id")) & (text_key(kw.get("text_col", "text")) == F.col("__th")), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
