@@ -334,7 +334,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("uid"), text_key(text_col).alias("th"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     anchors = written(base.select("uid", "th", "text").mapInArrow(_anchors(length), ANCHORS), "anchors")
     grams = anchors.groupBy("h").agg(F.count("*").alias("c"), F.min("v1").alias("lo"), F.max("v1").alias("hi")).filter("c > 1")
-    again = written(anchors.join(grams.select("h", (F.col("lo") == F.col("hi")).alias("single")), "h"), "grams")
+    # A table of its own, so that both sides of the join are plain shuffles, whose hot keys Spark can split.
+    grams = written(grams.select("h", (F.col("lo") == F.col("hi")).alias("single")), "grams")
+    again = written(anchors.join(grams, "h"), "repeated")
 
     routes = max(8, parts(spark))
     variants = again.filter("not single").groupBy("h", "v1", "v2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "th", "a", "m", "o")).alias("r"))
