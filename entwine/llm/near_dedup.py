@@ -4,11 +4,11 @@ Method. The words of a text (runs of bytes other than ASCII white space, A-Z low
 each a 64-bit hash. A SetSketch of m registers K_i = floor(1 - log_b(min_x e_i(x))), with e_i(x) exponential, base
 b = 1.001 and 16 bits, is mergeable by maximum and equal in a register with about the Jaccard similarity. Equal sets are
 one class first, whatever their number. Registers in bands of r make buckets; every member of a bucket is paired with
-the bucket's least member only (a star, not all pairs), a pair goes on if the similarity estimated jointly from both
-sketches by maximum likelihood is within the margin, and is then confirmed on the full sets. Buckets whose members are
-still in several components are taken again with the next leader until no pair in them is untested, so the
-components are those of all pairs that share a bucket. With 25 bands of 5, a pair at 0.8 shares no bucket with
-probability 5e-5.
+one member only, the one that meets most others over all bands (a star, not all pairs), a pair goes on if the similarity
+estimated jointly from both sketches by maximum likelihood is within the margin, and is then confirmed on the full sets.
+The members of buckets that are still in several components go through an exact prefix filter, which finds every pair
+between components that can reach the threshold, and these are tested in the same way; so the components are those of
+all pairs that share a bucket. With 25 bands of 5, a pair at 0.8 shares no bucket with probability 5e-5.
 
 Defined results. Null and empty texts, and texts of white space: set size 0, linked with nothing, kept. Fewer words than
 k: the whole sequence is the one shingle. Rows that share an id are one document: what one of them links to, the other
@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 from entwine.llm.common import binary_column, bytes_of, components, mix, pieces, row_id, shingle_sets, small_batches, stream, text_key, written
 
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
-#: Buckets up to this size have their untested pairs tested in one round; larger ones take one leader a round.
-AT_ONCE = 64
 #: A pair whose estimate lies this far below the threshold is not confirmed: over five standard errors at 125 registers.
 MARGIN = 0.2
 NO_ID = -(1 << 62)
@@ -89,6 +87,16 @@ def _sketches(k: int, registers: int, rows: int):
     return run
 
 
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            sets = shingle_sets(*bytes_of(b.column("text")), k)
+            hs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("comp"), pa.array([len(s) for s in sets], pa.int64()), hs], names=["node", "comp", "n", "hs"])
+
+    return run
+
+
 def _likely(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,6 +127,30 @@ def _confirmed(k: int, percent: int):
     return run
 
 
+def _crossing(unsettled: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that may reach the threshold: an exact prefix filter.
+
+    With the shingles of each set in order of their frequency, two sets that share i shingles share one within the first
+    n - i + 1 of either. Shingles that occur once take up the front and meet nothing, so a heavily edited copy has few or no
+    rows here. Of each shingle's rows, those of its most frequent component are met but do not ask, as pairs within a
+    component are of no use.
+    """
+    sets = texts.join(unsettled.hint("merge"), "node").select("node", "comp", "text").mapInArrow(_sets(k), "node long, comp long, n long, hs array<long>")
+    each = written(sets.select("node", "comp", "n", F.explode("hs").alias("h")), "shingles")
+    shared = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    by = Window.partitionBy("node").orderBy("df", "h")
+    at = each.join(shared, "h").withColumn("at", F.row_number().over(by)).withColumn("once", F.col("n") - F.count("*").over(Window.partitionBy("node")))
+    at = at.withColumn("at", F.col("at") + F.col("once")).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    front = written(at.select("h", "node", "comp", "n", "at"), "front")
+    most = front.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1")
+    most = written(most.select("h", "most"), "most")
+    ask = front.join(most, "h").filter("comp != most").select("h", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
+    both = ask.join(front, "h").filter("comp != cx")
+    need = F.ceil((F.col("n") + F.col("nx")) * percent / (100 + percent))
+    both = both.filter((F.col("at") <= F.col("n") - need + 1) & (F.col("ax") <= F.col("nx") - need + 1) & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent))
+    return both.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, registers: int = 125, rows: int = 5) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept. See the module for method and defined results."""
     spark = docs.sparkSession
@@ -134,8 +166,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = members.filter("uid = rep").groupBy("s1", "s2").agg(F.min("th").alias("th"), F.min("rep").alias("rep"))
     reps = written(some.join(nodes, ["s1", "s2", "th"]).filter("uid = rep").select(F.xxhash64("s1", "s2").alias("node"), "uid", "th", "n", "sketch", "bands").dropDuplicates(["node"]), "reps")
     bands = reps.select("node", F.explode("bands").alias("key"))
-    leaders = bands.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("size")).filter("size > 1")
-    bands = written(bands.join(leaders, "key"), "bands")
+    sizes = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    met = written(bands.join(sizes, "key"), "met")
+    central = met.groupBy("node").agg(F.sum("size").alias("met"))
+    met = written(met.join(central, "node").select("node", "key", "met"), "central")
+    leaders = met.groupBy("key").agg(F.max("met").alias("met")).join(met, ["key", "met"]).groupBy("key").agg(F.min("node").alias("b"))
+    bands = written(met.join(leaders, "key").select("node", "key", "b"), "bands")
 
     ends = bands.select("node").distinct()
     texts = written(base.join(ends.join(reps.select("node", "uid", "th"), "node").hint("merge"), ["uid", "th"]).select("node", "text").dropDuplicates(["node"]), "texts")
@@ -148,26 +184,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tx, ty = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
         return written(likely.join(tx, "a").join(ty, "b").select("a", "b", "x", "y").mapInArrow(_confirmed(shingle, percent), "a long, b long"), tag)
 
-    tested = written(bands.filter("node != b").select(F.col("node").alias("a"), "b").distinct(), "pairs1")
-    links = test(tested, "links1")
+    links = test(written(bands.filter("node != b").select(F.col("node").alias("a"), "b").distinct(), "stars"), "links")
     label = components(links)
-    k = 2
-    while True:
-        here = bands.join(label.withColumnRenamed("component", "comp"), "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp"))
-        apart = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi and key is not null").select("key")
-        open_ = here.filter(F.col("size") > k).join(apart, "key")
-        at = written(open_.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("node"))), f"open{k}")
-        lead = at.filter((F.col("at") == k) | ((F.col("size") <= AT_ONCE) & (F.col("at") >= k)) if k == 2 else (F.col("at") == k) & (F.col("size") > AT_ONCE))
-        lead = lead.select("key", F.col("node").alias("b"), F.col("at").alias("at_b"), F.col("comp").alias("comp_b"))
-        pairs = at.join(lead, "key").filter("at > at_b and comp != comp_b").select(F.col("node").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"pairs{k}")
-        if pairs.limit(1).count():
-            tested = tested.unionByName(pairs)
-            links = links.unionByName(test(pairs, f"links{k}"))
-            label = components(links, f"cc{k}")
-        k += 1
-        if not at.filter((F.col("size") > max(k, AT_ONCE))).limit(1).count():
-            break
+
+    # Buckets that are still in several components: all pairs between components that can reach the threshold.
+    here = bands.select("node", "key").join(label.withColumnRenamed("component", "comp"), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    apart = here.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+    unsettled = written(here.join(apart, "key").select("node", "comp").distinct(), "unsettled")
+    rest = written(_crossing(unsettled, texts, shingle, percent), "crossing")
+    if rest.limit(1).count():
+        label = components(links.unionByName(test(rest, "links-crossing")), "cc-all")
 
     # From nodes back to documents; ids with several texts tie their nodes together.
     tied = reps.select("node", F.col("uid").alias("rep")).join(label, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
