@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _latin() -> tuple[str, str]:
@@ -28,7 +29,7 @@ def fold(c: Column) -> Column:
     return F.translate(F.regexp_replace(c, r"[̀-ͯ]", ""), *LATIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_full(s: pd.Series) -> pd.Series:
     """Compatibility decomposition of any script without combining marks; the general form of fold."""
 
