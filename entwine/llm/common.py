@@ -62,6 +62,16 @@ def text_key(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, *names: str) -> Column:
+    """Columns of df as one struct called row, so that names made beside it can't clash with theirs; row.* unpacks them."""
+    return F.struct(*[quoted(c) for c in names or df.columns]).alias("row")
+
+
 def words(text: Column) -> Column:
     """Words of a text, A-Z in lower case; empty for null."""
     lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -21,7 +21,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entwine.llm.common import row_id, table, text_key, words, written
+from entwine.llm.common import packed, quoted, row_id, table, text_key, words, written
 
 SKETCH, MISS = 16, 1e-6
 
@@ -70,9 +70,9 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 def decontaminate(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
     """The rows of docs that hold no item, unchanged."""
-    found = written(find_items(docs, items, **kw).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct(), "found")
-    key = kw.get("id_col", "doc_id")
-    return docs.join(found.hint("merge"), F.col(key).eqNullSafe(F.col("__id")) & (text_key(kw.get("text_col", "text")) == F.col("__th")), "left_anti")
+    found = written(find_items(docs, items, **kw).select(F.col("doc_id").alias("id"), "th").distinct(), "found")
+    rows = docs.select(packed(docs), quoted(kw.get("id_col", "doc_id")).alias("own"), text_key(kw.get("text_col", "text")).alias("own_th"))
+    return rows.join(found.hint("merge"), F.col("own").eqNullSafe(F.col("id")) & (F.col("own_th") == F.col("th")), "left_anti").select("row.*")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

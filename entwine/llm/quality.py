@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entwine.llm.common import SPACE, table
+from entwine.llm.common import SPACE, packed, quoted, table
 
 SAMPLE = 20_000
 #: Bound in bytes of what is broadcast for the sample: an id and a label a row.
@@ -52,10 +52,10 @@ def _statistics() -> dict[str, Column]:
 
 
 def statistics(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
-    """keep and one column for each statistic."""
-    t = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    t = t.select(*keep, "t", F.filter(F.split("t", SPACE), lambda x: x != "").alias("w"), F.split("t", "\n").alias("l"))
-    return t.select(*keep, *[c.alias(f"s_{k}") for k, c in _statistics().items()])
+    """The struct row of the columns keep, and one column for each statistic."""
+    t = df.select(packed(df, *keep), F.coalesce(quoted(text_col), F.lit("")).alias("t"))
+    t = t.select("row", "t", F.filter(F.split("t", SPACE), lambda x: x != "").alias("w"), F.split("t", "\n").alias("l"))
+    return t.select("row", *[c.alias(f"s_{k}") for k, c in _statistics().items()])
 
 
 def held_out(id_col: str) -> Column:
@@ -148,15 +148,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter(F.col("__id").isNotNull() & F.col("__y").isin(0, 1) & ~held_out("__id"))
     some = some.orderBy(F.xxhash64("__id"), "__id", "__y").limit(sample)
     # At most `sample` rows of two numbers: the bound of this broadcast.
-    rows = docs.join(F.broadcast(some), F.col(id_col) == F.col("__id"))
-    got = statistics(rows, text_col, "__id", "__y").orderBy(F.xxhash64("__id"), "__id", "__y").limit(sample).toPandas()
+    rows = docs.select(quoted(id_col).alias("__id"), quoted(text_col).alias("__t")).join(F.broadcast(some), "__id")
+    got = statistics(rows, "__t", "__id", "__y").select("row.*", *[f"s_{k}" for k in _statistics()]).orderBy(F.xxhash64("__id"), "__id", "__y").limit(sample).toPandas()
     got = got.sort_values(list(got.columns), kind="stable")
     return fit(got[[c for c in got.columns if c.startswith("s_")]].to_numpy(float), got["__y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: tuple[float, list[tuple[float, Rule]]], *keep: str, text_col: str = "text") -> DataFrame:
     """keep and score, for every row of docs."""
-    return statistics(docs.withColumn("__t", F.col(text_col)), "__t", *keep).select(*keep, compile_rules(*model).alias("score"))
+    return statistics(docs, text_col, *keep).select("row.*", compile_rules(*model).alias("score"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

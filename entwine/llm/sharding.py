@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entwine.llm.common import table
+from entwine.llm.common import packed, quoted, table
 
 SHARDS, SLOTS = 32, 8191
 #: The largest table that may be broadcast: a slot is two ints.
@@ -53,10 +53,9 @@ def shard(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, slots: int =
     """df with the slot and the shard of every row."""
     owners = ",".join(map(str, fill([f"shard-{i}" for i in range(shards)], slots)))
     lookup = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(owners), ",")).alias("slot", "shard"))
-    lookup = lookup.select(F.col("slot").cast("long").alias("__slot"), F.col("shard").cast("int").alias("__shard"))
-    rest = [c for c in df.columns if c not in (slot_col, shard_col)]
-    placed = df.withColumn("__at", slot_of(F.col(key), slots))
-    return placed.join(F.broadcast(lookup), F.col("__at") == F.col("__slot"), "left").select(*rest, F.col("__at").alias(slot_col), F.col("__shard").alias(shard_col))
+    lookup = lookup.select(F.col("slot").cast("long").alias("slot"), F.col("shard").cast("int").alias("shard"))
+    placed = df.select(packed(df, *[c for c in df.columns if c not in (slot_col, shard_col)] or [key]), slot_of(quoted(key), slots).alias("slot"))
+    return placed.join(F.broadcast(lookup), "slot", "left").select("row.*", F.col("slot").alias(slot_col), F.col("shard").alias(shard_col))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ Method. A common-prefix-aware distributed merge sort of suffixes, over the few s
    runs to the partition of the gram. There a loser tree merges them, in which a contest compares known common prefix
    lengths first and reads bytes only past them, so no known prefix is compared again. The merged order comes with all
    neighbours' common prefixes; together with those of the left contexts they tell for each window whether another
-   variant holds it too.
+   variant holds it too. Of grams with more than HOT segments the windows of the variants are counted by digests
+   instead, so that no task has to hold such a group.
 4. Repeated windows go back to all segments of the variant, are joined to their texts, and the union of bytes goes.
 
 Volumes: a row of about 45 bytes per 185 bytes of text; bytes of text travel once for the representatives and once for
@@ -30,16 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from entwine.llm.common import Rolling, bytes_of, parts, pieces, small_batches, table, text_key, written
+from entwine.llm.common import PIECE, Rolling, bytes_of, parts, pieces, small_batches, table, text_key, written
 
 GRAM = 32
 #: Texts longer than this are walked in tiles, which bounds memory.
 TILE = 1 << 21
 #: Suffixes of about so many bytes are sorted into one run.
 RUN = 16 << 20
+#: A gram with more segments than this isn't merged in one task: its windows are counted by digests, which spread.
+HOT = 200_000
 #: Up to so many variants of a gram are compared as pairs; more by labels of common prefixes, without pairs.
 PAIRWISE = 48
 
@@ -325,7 +328,34 @@ def _removed(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+def _windows(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text", PIECE // 64):
+            rows = []
+            for text, segs in zip(b.column("text"), b.column("segs").to_pylist(), strict=True):
+                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                for s in segs:
+                    for j in range(s["m"]):
+                        rows.append((hashlib.blake2b(raw[s["a"] + j : s["a"] + j + length], digest_size=16).digest(), s["v1"], s["v2"], s["n"], j))
+            w = np.frombuffer(b"".join(r[0] for r in rows), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), *[pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)], pa.array([r[4] for r in rows], pa.int32())], names=["w1", "w2", "v1", "v2", "n", "j"])
+
+    return run
+
+
+def _counted(base: DataFrame, variants: DataFrame, length: int) -> DataFrame:
+    """(v1, v2, spans) of variants of very frequent grams: their windows are counted by 128-bit digests, in as many tasks as it takes."""
+    wanted = variants.select("r.uid", "r.th", F.struct("r.a", "r.m", "v1", "v2", "n").alias("s")).groupBy("uid", "th").agg(F.collect_list("s").alias("segs"))
+    w = written(base.join(wanted, ["uid", "th"]).select("text", "segs").mapInArrow(_windows(length), "w1 long, w2 long, v1 long, v2 long, n long, j int"), "windows")
+    again = w.groupBy("w1", "w2").agg(F.sum("n").alias("times")).filter("times > 1").select("w1", "w2")
+    # A run of neighbouring windows keeps j minus its place in the order.
+    hit = w.join(written(again, "repeats"), ["w1", "w2"]).select("v1", "v2", "j").distinct()
+    hit = hit.withColumn("run", F.col("j") - F.row_number().over(Window.partitionBy("v1", "v2").orderBy("j")))
+    runs = hit.groupBy("v1", "v2", "run").agg(F.min("j").alias("i"), F.max("j").alias("j"))
+    return runs.groupBy("v1", "v2").agg(F.collect_list(F.struct("i", "j")).alias("spans"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = HOT) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, spans array<struct<start,stop>> (removed bytes), kept (the bytes that remain)."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
@@ -335,15 +365,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = written(base.select("uid", "th", "text").mapInArrow(_anchors(length), ANCHORS), "anchors")
     grams = anchors.groupBy("h").agg(F.count("*").alias("c"), F.min("v1").alias("lo"), F.max("v1").alias("hi")).filter("c > 1")
     # A table of its own, so that both sides of the join are plain shuffles, whose hot keys Spark can split.
-    grams = written(grams.select("h", (F.col("lo") == F.col("hi")).alias("single")), "grams")
+    grams = written(grams.select("h", (F.col("lo") == F.col("hi")).alias("single"), ((F.col("c") > hot) & (F.col("lo") != F.col("hi"))).alias("hot")), "grams")
     again = written(anchors.join(grams, "h"), "repeated")
 
     routes = max(8, parts(spark))
-    variants = again.filter("not single").groupBy("h", "v1", "v2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "th", "a", "m", "o")).alias("r"))
-    wanted = variants.select("r.uid", "r.th", F.struct("r.a", "r.m", "r.o", "h", "v1", "v2", "n").alias("s")).groupBy("uid", "th").agg(F.collect_list("s").alias("segs"))
+    variants = again.filter("not single").groupBy("h", "hot", "v1", "v2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "th", "a", "m", "o")).alias("r"))
+    wanted = variants.filter("not hot").select("r.uid", "r.th", F.struct("r.a", "r.m", "r.o", "h", "v1", "v2", "n").alias("s")).groupBy("uid", "th").agg(F.collect_list("s").alias("segs"))
     runs = base.join(wanted, ["uid", "th"]).select("text", "segs").mapInArrow(_runs(length, routes), "route int, run binary")
     settled = runs.repartition(routes, "route").mapInArrow(_merged(length), "v1 long, v2 long, spans array<struct<i:int,j:int>>")
 
+    if grams.filter("hot").limit(1).count():
+        settled = settled.unionByName(_counted(base, variants.filter("hot"), length))
+
     whole = again.filter("single").select("uid", "th", F.col("a").alias("i"), (F.col("a") + F.col("m") - 1).alias("j"))
     some = again.filter("not single").join(settled, ["v1", "v2"]).select("uid", "th", "a", F.explode("spans").alias("s")).select("uid", "th", (F.col("a") + F.col("s.i")).alias("i"), (F.col("a") + F.col("s.j")).alias("j"))
     found = whole.unionByName(some).groupBy("uid", "th").agg(F.collect_list(F.struct("i", "j")).alias("found"))
