@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entwine.llm.common import table, text_key, written
+from entwine.llm.common import packed, table, text_key, written
 from entwine.llm.decontamination import decontaminate
 from entwine.llm.mixing import mix
 from entwine.llm.near_dedup import near_duplicates
@@ -18,13 +18,15 @@ from entwine.llm.sharding import shard
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the documents that it gets, scores at the threshold or above."""
     model = learn(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, *docs.columns).filter(F.col("score") >= THRESHOLD).select(*docs.columns)
+    rows = docs.select(packed(docs), "text")
+    return score(rows, model, "row").filter(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id; rows that repeat an id go once."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(written(kept, "kept").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One document of each group of near duplicates: the one with the least id; rows that repeat an id stay together."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(packed(docs), F.col("doc_id").alias("own"))
+    return rows.join(written(kept, "kept").hint("merge"), F.col("own").eqNullSafe(F.col("id")), "left_semi").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +36,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    times = mix(docs).filter("times > 0").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "times").groupBy("__id", "__th").agg(F.max("times").alias("times"))
-    rows = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key("text") == F.col("__th")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*docs.columns)
+    times = mix(docs).filter("times > 0").groupBy(F.col("doc_id").alias("id"), F.col("source").alias("s"), "th").agg(F.max("times").alias("times"))
+    rows = docs.select(packed(docs), F.col("doc_id").alias("own"), F.col("source").alias("own_s"), text_key("text").alias("own_th"))
+    rows = rows.join(times.hint("merge"), F.col("own").eqNullSafe(F.col("id")) & F.col("own_s").eqNullSafe(F.col("s")) & (F.col("own_th") == F.col("th")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
