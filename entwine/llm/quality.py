@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from entwine.llm.common import SPACE, packed, quoted, table
 
 SAMPLE = 20_000
-#: Bound in bytes of what is broadcast for the sample: an id and a label a row.
 THRESHOLD = 0.7
 TREES, DEPTH, RATE, BINS, LASSO = 40, 3, 0.3, 48, 0.002
 
-#: Statistics, in order; each from the columns t (text), w (words), l (lines).
+
 def _statistics() -> dict[str, Column]:
+    """Statistics, in order; each from the columns t (text), w (words), l (lines)."""
     t, w, l = F.col("t"), F.col("w"), F.col("l")
     chars = F.greatest(F.char_length(t), F.lit(1)).cast("double")
     n = F.greatest(F.size(w), F.lit(1)).cast("double")
@@ -93,7 +93,9 @@ def _grow(b: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth:
 
 def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[float, Rule]]]:
     """Intercept and weighted rules of a sparse ensemble for label y over statistics x."""
-    p = float(y.mean()) if len(y) else 0.5
+    if not len(y):
+        return 0.0, []
+    p = float(y.mean())
     if not 0 < p < 1:
         return float(np.log((p + 1e-3) / (1 - p + 1e-3))), []
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
