@@ -7,6 +7,10 @@ vectors are reranked by the exact cosine, and the best of all curves merge by ag
 share of an ordering that, on the sample, holds RECALL of the true neighbours on at least one curve. On vectors with
 structure it is small; on vectors without any it nears the whole ordering, as for any index of that kind.
 
+A task gets a bounded group at any size: key ranges are counted, those with over BLOCK_MOST vectors are dealt by a digest into
+parts that each query meets in turn, and queries are dealt into slices of about SLICE. Of vectors that tie, the ones with the
+smallest ids stay, k + 1 a group.
+
 Only the sample (SAMPLE vectors at most) comes to the driver; every vector is indexed. Equal vectors are one entry with its
 smallest ids: of equal vectors only those can be among the k nearest, as ties go to smaller ids.
 
@@ -28,6 +32,10 @@ from entwine.llm.common import small_batches, table, written
 
 CURVES, AXES, DEPTH = 6, 6, 8
 BLOCK, SAMPLE, PROBES, RECALL = 2048, 8192, 256, 0.97
+#: Vectors of a part of a key range and queries of a slice: what one group holds, about.
+BLOCK_MOST, SLICE = 4096, 8192
+#: Placed rows leave a worker in batches of about so many bytes.
+BATCH = 1 << 22
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -105,47 +113,83 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _placed(curves: Curves, cuts: np.ndarray, marks: np.ndarray, reach: float, query: bool):
-    """Rows (curve, block, key, vec): vectors in the block of their key, queries in all blocks that their window touches."""
+def _blocks(curves: Curves, cuts: np.ndarray):
+    """(curve, block) of every vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                keys = curves.keys(unit(matrix(b.column("vec"))))
+                for c in range(CURVES):
+                    at = np.searchsorted(cuts[c], keys[:, c], "right")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c, np.int32)), pa.array(at.astype(np.int32))], names=["curve", "block"])
+
+    return run
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row that each of sum(counts) copies comes from, and its number among the copies of that row."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _placed(curves: Curves, cuts: np.ndarray, marks: np.ndarray, reach: float, parts: np.ndarray, slices: int, query: bool):
+    """Rows (curve, block, part, slice, key, least, vec): a vector in one part of the block of its key, for every slice; a query
+    in its slice, for all parts of the blocks that its window touches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = curves.keys(unit(matrix(b.column("vec"))))
+            vectors = matrix(b.column("vec"))
+            keys = curves.keys(unit(vectors))
+            digest = b.column("key").to_numpy().view(np.uint64)
+            step = max(1, BATCH // (8 * vectors.shape[1]))
             for c in range(CURVES):
                 at = np.searchsorted(cuts[c], keys[:, c], "right")
-                row = np.arange(b.num_rows)
                 if query:
                     rank = np.searchsorted(marks[c], keys[:, c]) / len(marks[c])
                     lo, hi = (np.searchsorted(cuts[c], marks[c][np.clip(((rank + s * reach) * len(marks[c])).astype(int), 0, len(marks[c]) - 1)], "right") for s in (-1, 1))
                     lo, hi = np.minimum(lo, at), np.maximum(hi, at)
                     lo, hi = np.where(rank - reach <= 0, 0, lo), np.where(rank + reach >= 1, len(cuts[c]), hi)
-                    row = np.repeat(row, hi - lo + 1)
-                    at = np.concatenate([np.arange(x, y + 1) for x, y in zip(lo, hi, strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), c, np.int32)), pa.array(at.astype(np.int32)), b.column("key").take(pa.array(row)), b.column("vec").take(pa.array(row))], names=["curve", "block", "key", "vec"])
+                    row, nth = _spread(hi - lo + 1)
+                    at = lo[row] + nth
+                    again, part = _spread(parts[c][at])
+                    row, at = row[again], at[again]
+                    slice_ = (digest[row] % np.uint64(slices)).astype(np.int32)
+                else:
+                    row, slice_ = _spread(np.full(b.num_rows, slices))
+                    at = at[row]
+                    part = (digest[row] % parts[c][at].astype(np.uint64)).astype(np.int64)
+                for i in range(0, len(row), step):
+                    own = slice(i, i + step)
+                    take = pa.array(row[own])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), c, np.int32)), *[pa.array(x[own].astype(np.int32)) for x in (at, part, slice_)], *[b.column(x).take(take) for x in ("key", "least", "vec")]], names=["curve", "block", "part", "slice", "key", "least", "vec"])
 
     return run
 
 
 def _best(k: int):
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = {"query": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
+        names = ("query", "key", "least", "score")
         if not vectors.num_rows or not queries.num_rows:
-            return pa.table(empty)
+            return pa.table({n: pa.array([], pa.float64() if n == "score" else pa.int64()) for n in names})
         v = unit(matrix(vectors.column("vec").combine_chunks()))
-        ids, qs = (t.column("key").to_numpy() for t in (vectors, queries))
+        ids, least, qs = vectors.column("key").to_numpy(), vectors.column("least").to_numpy(), queries.column("key").to_numpy()
         q = unit(matrix(queries.column("vec").combine_chunks()))
         out = []
         for i in range(0, len(q), 512):
             s = q[i : i + 512] @ v.T
             m = min(k, s.shape[1])
-            top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            # All that tie with the last one stay in, so that ids decide later.
-            least = np.take_along_axis(s, top, 1).min(1) - 1e-12
-            r, c = np.nonzero(s >= least[:, None])
-            out.append((qs[i : i + 512][r], ids[c], s[r, c]))
-        return pa.table({n: pa.array(np.concatenate([o[j] for o in out])) for j, n in enumerate(("query", "key", "score"))})
+            # All that tie with the last one, of which those with the least ids stay.
+            last = -np.partition(-s, m - 1, axis=1)[:, m - 1] - 1e-12
+            r, c = np.nonzero(s >= last[:, None])
+            order = np.lexsort((least[c], -np.round(s[r, c], 12), r))
+            r, c = r[order], c[order]
+            stay = _spread(np.bincount(r, minlength=len(s)))[1] < m
+            r, c = r[stay], c[stay]
+            out.append((qs[i : i + 512][r], ids[c], least[c], s[r, c]))
+        return pa.table({n: pa.array(np.concatenate([o[j] for o in out])) for j, n in enumerate(names)})
 
     return run
 
@@ -174,12 +218,21 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     marks = np.sort(keys, axis=0).T
     cuts = np.stack([m[[len(m) * i // blocks for i in range(1, blocks)]] for m in marks])
 
-    schema = "curve int, block int, key long, vec array<double>"
-    placed = entries.select("key", "vec").mapInArrow(_placed(curves, cuts, marks, reach, False), schema)
-    questions = entries.join(asked.select(F.col("query").alias("key")).distinct(), "key", "left_semi").select("key", "vec").mapInArrow(_placed(curves, cuts, marks, reach, True), schema)
-    pairs = placed.groupBy("curve", "block").cogroup(questions.groupBy("curve", "block")).applyInArrow(_best(k + 1), "query long, key long, score double")
-    pairs = pairs.groupBy("query", "key").agg(F.max("score").alias("score"))
-    top = pairs.withColumn("r", F.rank().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 12))))).filter(F.col("r") <= k + 1)
+    held = entries.select("key", F.element_at("ids", 1).alias("least"), "vec")
+    wanted = asked.select(F.col("query").alias("key")).distinct()
+    slices = max(1, -(-wanted.count() // SLICE))
+    parts = np.ones((CURVES, blocks), np.int64)
+    # At most CURVES times SAMPLE / 4 rows come to the driver.
+    for curve, block, size in entries.select("vec").mapInArrow(_blocks(curves, cuts), "curve int, block int").groupBy("curve", "block").count().toLocalIterator():
+        parts[curve, block] = -(-size // BLOCK_MOST)
+
+    schema = "curve int, block int, part int, slice int, key long, least long, vec array<double>"
+    group = ("curve", "block", "part", "slice")
+    placed = held.mapInArrow(_placed(curves, cuts, marks, reach, parts, slices, False), schema)
+    questions = held.join(wanted, "key", "left_semi").select("key", "least", "vec").mapInArrow(_placed(curves, cuts, marks, reach, parts, slices, True), schema)
+    pairs = placed.groupBy(*group).cogroup(questions.groupBy(*group)).applyInArrow(_best(k + 1), "query long, key long, least long, score double")
+    pairs = pairs.groupBy("query", "key").agg(F.max("score").alias("score"), F.min("least").alias("least"))
+    top = pairs.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "least"))).filter(F.col("r") <= k + 1)
     found = top.join(entries.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("vec_id"))
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= 2 * (k + 1))
     mine = asked.join(found, "query").filter("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -83,6 +83,18 @@ def test_neighbours_of_odd_rows(spark):
     assert [tuple(x)[:3] for x in ann.nearest(df.filter("vec_id in (10, 11)"), every=10).collect()] == [(10, 1, 11)]
 
 
+def test_neighbours_in_parts_and_slices(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_MOST", 16)
+    monkeypatch.setattr(ann, "SLICE", 3)
+    r = np.random.RandomState(5)
+    rows = [(i, r.standard_normal(8).tolist()) for i in range(120)]
+    rows += [(200 + i, (np.array(rows[7][1]) * 2.0 ** (i - 20)).tolist()) for i in range(40)]  # ties of different vectors
+    got = {}
+    for x in sorted(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).collect(), key=lambda x: (x.query_id, x["rank"])):
+        got.setdefault(x.query_id, []).append(x.vec_id)
+    assert got == brute(rows, 10, 5)
+
+
 def test_neighbour_recall(spark, sf):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
