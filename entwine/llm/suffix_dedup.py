@@ -41,6 +41,8 @@ GRAM = 32
 TILE = 1 << 21
 #: Suffixes of about so many bytes are sorted into one run.
 RUN = 16 << 20
+#: Runs that one task merges, in bytes before front coding: their number follows the measured number of segments.
+ROUTE = 64 << 20
 #: A gram with more segments than this isn't merged in one task: its windows are counted by digests, which spread.
 HOT = 200_000
 #: Up to so many variants of a gram are compared as pairs; more by labels of common prefixes, without pairs.
@@ -368,7 +370,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grams = written(grams.select("h", (F.col("lo") == F.col("hi")).alias("single"), ((F.col("c") > hot) & (F.col("lo") != F.col("hi"))).alias("hot")), "grams")
     again = written(anchors.join(grams, "h"), "repeated")
 
-    routes = max(8, parts(spark))
+    # Segments that may need a comparison, all taken as variants of their own: the most that the merge can get.
+    routes = max(8, parts(spark), -(-again.filter("not single").count() * (length + 200) // ROUTE))
     variants = again.filter("not single").groupBy("h", "hot", "v1", "v2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "th", "a", "m", "o")).alias("r"))
     wanted = variants.filter("not hot").select("r.uid", "r.th", F.struct("r.a", "r.m", "r.o", "h", "v1", "v2", "n").alias("s")).groupBy("uid", "th").agg(F.collect_list("s").alias("segs"))
     runs = base.join(wanted, ["uid", "th"]).select("text", "segs").mapInArrow(_runs(length, routes), "route int, run binary")
