@@ -7,9 +7,10 @@ vectors are reranked by the exact cosine, and the best of all curves merge by ag
 share of an ordering that, on the sample, holds RECALL of the true neighbours on at least one curve. On vectors with
 structure it is small; on vectors without any it nears the whole ordering, as for any index of that kind.
 
-A task gets a bounded group at any size: key ranges are counted, those with over BLOCK_MOST vectors are dealt by a digest into
-parts that each query meets in turn, and queries are dealt into slices of about SLICE. Of vectors that tie, the ones with the
-smallest ids stay, k + 1 a group.
+A task gets a bounded group at any size: the vectors of each key range and the queries that touch it are counted. Ranges with
+over BLOCK_MOST vectors are dealt by a digest into parts that each of those queries meets in turn, the queries of a range into slices
+of about SLICE. So a range is sent once for every slice of its own queries, and not at all if none touches it. Of vectors that tie,
+the ones with the smallest ids stay, k + 1 a group.
 
 Only the sample (SAMPLE vectors at most) comes to the driver; every vector is indexed. Equal vectors are one entry with its
 smallest ids: of equal vectors only those can be among the k nearest, as ties go to smaller ids.
@@ -113,16 +114,30 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _blocks(curves: Curves, cuts: np.ndarray):
-    """(curve, block) of every vector."""
+def _span(keys: np.ndarray, cuts: np.ndarray, marks: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last block of one curve that the windows of queries with these keys touch."""
+    at = np.searchsorted(cuts, keys, "right")
+    rank = np.searchsorted(marks, keys) / len(marks)
+    lo, hi = (np.searchsorted(cuts, marks[np.clip(((rank + s * reach) * len(marks)).astype(int), 0, len(marks) - 1)], "right") for s in (-1, 1))
+    lo, hi = np.minimum(lo, at), np.maximum(hi, at)
+    return np.where(rank - reach <= 0, 0, lo), np.where(rank + reach >= 1, len(cuts), hi)
+
+
+def _sizes(curves: Curves, cuts: np.ndarray, marks: np.ndarray, reach: float, query: bool):
+    """(curve, block, n): vectors in a block, or queries that touch it; a task sends one row for each block at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = cuts.shape[1] + 1
+        n = np.zeros((CURVES, blocks + 1), np.int64)
         for b in batches:
             if b.num_rows:
                 keys = curves.keys(unit(matrix(b.column("vec"))))
                 for c in range(CURVES):
-                    at = np.searchsorted(cuts[c], keys[:, c], "right")
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), c, np.int32)), pa.array(at.astype(np.int32))], names=["curve", "block"])
+                    lo, hi = _span(keys[:, c], cuts[c], marks[c], reach) if query else (np.searchsorted(cuts[c], keys[:, c], "right"),) * 2
+                    n[c] += np.bincount(lo, minlength=blocks + 1) - np.bincount(hi + 1, minlength=blocks + 1)
+        n = n.cumsum(1)[:, :-1]
+        c, block = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(n[c, block])], names=["curve", "block", "n"])
 
     return run
 
@@ -133,8 +148,8 @@ def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _placed(curves: Curves, cuts: np.ndarray, marks: np.ndarray, reach: float, parts: np.ndarray, slices: int, query: bool):
-    """Rows (curve, block, part, slice, key, least, vec): a vector in one part of the block of its key, for every slice; a query
+def _placed(curves: Curves, cuts: np.ndarray, marks: np.ndarray, reach: float, parts: np.ndarray, slices: np.ndarray, query: bool):
+    """Rows (curve, block, part, slice, key, least, vec): a vector in one part of the block of its key, for every slice of it; a query
     in its slice, for all parts of the blocks that its window touches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,19 +161,16 @@ def _placed(curves: Curves, cuts: np.ndarray, marks: np.ndarray, reach: float, p
             digest = b.column("key").to_numpy().view(np.uint64)
             step = max(1, BATCH // (8 * vectors.shape[1]))
             for c in range(CURVES):
-                at = np.searchsorted(cuts[c], keys[:, c], "right")
                 if query:
-                    rank = np.searchsorted(marks[c], keys[:, c]) / len(marks[c])
-                    lo, hi = (np.searchsorted(cuts[c], marks[c][np.clip(((rank + s * reach) * len(marks[c])).astype(int), 0, len(marks[c]) - 1)], "right") for s in (-1, 1))
-                    lo, hi = np.minimum(lo, at), np.maximum(hi, at)
-                    lo, hi = np.where(rank - reach <= 0, 0, lo), np.where(rank + reach >= 1, len(cuts[c]), hi)
+                    lo, hi = _span(keys[:, c], cuts[c], marks[c], reach)
                     row, nth = _spread(hi - lo + 1)
                     at = lo[row] + nth
                     again, part = _spread(parts[c][at])
                     row, at = row[again], at[again]
-                    slice_ = (digest[row] % np.uint64(slices)).astype(np.int32)
+                    slice_ = (digest[row] % slices[c][at].astype(np.uint64)).astype(np.int32)
                 else:
-                    row, slice_ = _spread(np.full(b.num_rows, slices))
+                    at = np.searchsorted(cuts[c], keys[:, c], "right")
+                    row, slice_ = _spread(slices[c][at])
                     at = at[row]
                     part = (digest[row] % parts[c][at].astype(np.uint64)).astype(np.int64)
                 for i in range(0, len(row), step):
@@ -220,16 +232,21 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     held = entries.select("key", F.element_at("ids", 1).alias("least"), "vec")
     wanted = asked.select(F.col("query").alias("key")).distinct()
-    slices = max(1, -(-wanted.count() // SLICE))
-    parts = np.ones((CURVES, blocks), np.int64)
-    # At most CURVES times SAMPLE / 4 rows come to the driver.
-    for curve, block, size in entries.select("vec").mapInArrow(_blocks(curves, cuts), "curve int, block int").groupBy("curve", "block").count().toLocalIterator():
-        parts[curve, block] = -(-size // BLOCK_MOST)
+    questions = held.join(wanted, "key", "left_semi").select("key", "least", "vec")
+
+    def shares(df: DataFrame, query: bool, most: int) -> np.ndarray:
+        """Into how many groups of `most` rows the rows of each block go; at most CURVES times SAMPLE / 4 counts come to the driver."""
+        out = np.zeros((CURVES, blocks), np.int64)
+        for curve, block, size in df.select("vec").mapInArrow(_sizes(curves, cuts, marks, reach, query), "curve int, block int, n long").groupBy("curve", "block").agg(F.sum("n")).collect():
+            out[curve, block] = -(-size // most)
+        return out
+
+    parts, slices = shares(entries, False, BLOCK_MOST), shares(questions, True, SLICE)
 
     schema = "curve int, block int, part int, slice int, key long, least long, vec array<double>"
     group = ("curve", "block", "part", "slice")
     placed = held.mapInArrow(_placed(curves, cuts, marks, reach, parts, slices, False), schema)
-    questions = held.join(wanted, "key", "left_semi").select("key", "least", "vec").mapInArrow(_placed(curves, cuts, marks, reach, parts, slices, True), schema)
+    questions = questions.mapInArrow(_placed(curves, cuts, marks, reach, parts, slices, True), schema)
     pairs = placed.groupBy(*group).cogroup(questions.groupBy(*group)).applyInArrow(_best(k + 1), "query long, key long, least long, score double")
     pairs = pairs.groupBy("query", "key").agg(F.max("score").alias("score"), F.min("least").alias("least"))
     top = pairs.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "least"))).filter(F.col("r") <= k + 1)

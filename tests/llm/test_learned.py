@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,29 @@ def test_neighbours_in_parts_and_slices(spark, monkeypatch):
     assert got == brute(rows, 10, 5)
 
 
+def test_slices_follow_the_queries_of_a_block():
+    r = np.random.RandomState(8)
+    u = ann.unit(r.standard_normal((400, 8)))
+    curves = ann.Curves(u)
+    keys = curves.keys(u)
+    marks = np.sort(keys, axis=0).T
+    cuts = np.stack([m[[40, 160, 300]] for m in marks])
+    batch = pa.RecordBatch.from_arrays([pa.array(list(u), pa.list_(pa.float64()))], names=["vec"])
+    for query, reach in ((False, 0.0), (True, 0.1), (True, 1.0)):
+        want = np.zeros((ann.CURVES, 4), int)
+        for c in range(ann.CURVES):
+            for key in keys[:, c]:
+                at = int(np.searchsorted(cuts[c], key, "right"))
+                lo, hi = (int(x[0]) for x in ann._span(np.array([key]), cuts[c], marks[c], reach)) if query else (at, at)
+                assert lo <= at <= hi and (reach < 1 or (lo, hi) == (0, 3))
+                want[c, lo : hi + 1] += 1
+        got = np.zeros_like(want)
+        for b in ann._sizes(curves, cuts, marks, reach, query)(iter([batch, batch.slice(0, 0)])):
+            for c, block, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                got[c, block] = n
+        assert (got == want).all()
+
+
 def test_neighbour_recall(spark, sf):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
