@@ -132,8 +132,9 @@ def _crossing(unsettled: DataFrame, texts: DataFrame, k: int, percent: int) -> D
 
     With the shingles of each set in order of their frequency, two sets that share i shingles share one within the first
     n - i + 1 of either. Shingles that occur once take up the front and meet nothing, so a heavily edited copy has few or no
-    rows here. Of each shingle's rows, those of its most frequent component are met but do not ask, as pairs within a
-    component are of no use.
+    rows here. The smaller set of a pair shares more of itself than the larger one, so its front is shorter: texts of one
+    mould with words of their own, which share frequent shingles but less than the threshold, meet nowhere. Of each
+    shingle's rows, those of its most frequent component are met but do not ask, as pairs within a component are of no use.
     """
     sets = texts.join(unsettled.hint("merge"), "node").select("node", "comp", "text").mapInArrow(_sets(k), "node long, comp long, n long, hs array<long>")
     each = written(sets.select("node", "comp", "n", F.explode("hs").alias("h")), "shingles")
@@ -141,11 +142,13 @@ def _crossing(unsettled: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     by = Window.partitionBy("node").orderBy("df", "h")
     at = each.join(shared, "h").withColumn("at", F.row_number().over(by)).withColumn("once", F.col("n") - F.count("*").over(Window.partitionBy("node")))
     at = at.withColumn("at", F.col("at") + F.col("once")).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    front = written(at.select("h", "node", "comp", "n", "at"), "front")
+    short = F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
+    front = written(at.select("h", "node", "comp", "n", "at", short.alias("short")), "front")
     most = front.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1")
     most = written(most.select("h", "most"), "most")
-    ask = front.join(most, "h").filter("comp != most").select("h", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"))
-    both = ask.join(front, "h").filter("comp != cx")
+    ask = front.join(most, "h").filter("comp != most").select("h", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("short").alias("sx"))
+    both = ask.filter("sx").join(front, "h").filter("comp != cx AND nx <= n")
+    both = both.unionByName(ask.join(front.filter("short"), "h").filter("comp != cx AND n < nx"))
     need = F.ceil((F.col("n") + F.col("nx")) * percent / (100 + percent))
     both = both.filter((F.col("at") <= F.col("n") - need + 1) & (F.col("ax") <= F.col("nx") - need + 1) & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent))
     return both.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()

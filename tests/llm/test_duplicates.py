@@ -54,6 +54,26 @@ def test_components_of_copies_around_the_threshold(spark):
     assert len(set(want.values())) < len(rows) - 100
 
 
+def test_crossing_finds_every_pair_at_the_threshold(spark):
+    r = random.Random(3)
+    texts = [" ".join(f"mould{j}" for j in range(12)) + f" own{i}" for i in range(40)]
+    for g in range(12):
+        words = [f"g{g}w{j}" for j in range(r.randint(12, 60))]
+        for i in range(6):
+            copy = words[: len(words) - r.randint(0, 5)]
+            copy[r.randrange(len(copy))] = f"edit{g}-{i}"
+            texts.append(" ".join(copy + [f"tail{g}-{i}"] * r.randint(0, 1)))
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    want = {(b, a) for a in range(len(texts)) for b in range(a + 1, len(texts)) if texts[a] != texts[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node long, text string")
+    alone = spark.createDataFrame([(i, i) for i in range(len(texts))], "node long, comp long")
+    got = {(x.a, x.b) for x in near_dedup._crossing(alone, rows, 4, 80).collect()}
+    assert len(want) > 30 and want <= got
+    # Of 8 shingles 7 are shared: 7 / 9 is under the threshold.
+    mould = spark.createDataFrame([(i, " ".join(f"mould{j}" for j in range(10)) + f" own{i}") for i in range(40)], "node long, text string")
+    assert near_dedup._crossing(alone.filter("node < 40"), mould, 4, 80).count() == 0
+
+
 def test_near_dedup_odd_rows(spark):
     a, b, c = (" ".join(f"{p}{i}" for i in range(30)) for p in "abc")
     rows = [(5, a), (5, b), (3, b), (9, c), (9, c), (None, c), (None, "lonely text of seven words in all"), (11, None), (11, "")]
