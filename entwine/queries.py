@@ -226,8 +226,8 @@ add("records", lambda v: v.recs.select("id", *[F.col(c).cast("int").alias(c) for
 add("norm_core", lambda v: v.raw.select(F.col("entity_id").alias("id"), text.normalize(F.col("business_name")).alias("norm")), f"WITH {REC} SELECT id, name_norm AS norm FROM rec")
 add("norm_core_full", lambda v: v.raw.select(F.col("entity_id").alias("id"), text.normalize(text.fold_full("business_name"), accents=True).alias("norm")), f"WITH {REC} SELECT id, name_norm AS norm FROM rec")
 add("norm_accents", lambda v: v.raw.select(F.col("entity_id").alias("id"), text.normalize(F.col("business_name"), accents=True).alias("norm")), rf"WITH {ENT} SELECT id, trim(regexp_replace(regexp_replace(lower(name), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM ent")
-add("norm_suffix", lambda v: v.docs.select("doc_id", text.short_suffixes(F.concat(text.normalize(F.substring("text", 1, 40)), F.lit(" company limited private ltd"))).alias("norm")), f"SELECT doc_id, {_short('(' + _norm('substr(text, 1, 40)') + chr(32) + '|| ' + chr(39) + ' company limited private ltd' + chr(39) + ')')} AS norm FROM documents")
-add("norm_address", lambda v: v.docs.select("doc_id", text.short_address(F.concat(F.lit("12 main street lane "), text.normalize(F.substring("text", 1, 40)))).alias("norm")), f"SELECT doc_id, {_short_addr('(' + chr(39) + '12 main street lane ' + chr(39) + ' || ' + _norm('substr(text, 1, 40)') + ')')} AS norm FROM documents")
+add("norm_suffix", lambda v: v.docs.select("doc_id", text.short_suffixes(F.concat(text.normalize(F.col("text")), F.lit(" company limited private ltd"))).alias("norm")), f"SELECT doc_id, {_short('(' + _norm('text') + chr(32) + '|| ' + chr(39) + ' company limited private ltd' + chr(39) + ')')} AS norm FROM documents")
+add("norm_address", lambda v: v.docs.select("doc_id", text.short_address(F.concat(F.lit("12 main street lane "), text.normalize(F.col("text")))).alias("norm")), f"SELECT doc_id, {_short_addr('(' + chr(39) + '12 main street lane ' + chr(39) + ' || ' + _norm('text') + ')')} AS norm FROM documents")
 add("numeric_tokens", lambda v: v.recs.select("id", "addr_num"), f"WITH {REC} SELECT id, addr_num FROM rec")
 add("tokens_exploded", lambda v: v.recs.select("id", F.explode(text.tokens(F.col("name_norm"))).alias("token")), f"WITH {REC} SELECT id, unnest(nt) AS token FROM rec")
 add("non_ascii_flag", lambda v: v.raw.select(F.col("entity_id").alias("id"), text.non_ascii(F.col("business_name")).alias("flag")), rf"WITH {ENT} SELECT id, regexp_matches(name, '[^\x00-\x7F]') AS flag FROM ent")
