@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entwine.llm.common import packed, table, text_key, written
+from entwine.llm.common import WORD, packed, row_id, table, text_key, written
 from entwine.llm.decontamination import decontaminate
 from entwine.llm.mixing import mix
-from entwine.llm.near_dedup import near_duplicates
+from entwine.llm.near_dedup import near_duplicate_rows
 from entwine.llm.quality import THRESHOLD, learn, score
 from entwine.llm.sharding import shard
 
@@ -23,10 +23,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id; rows that repeat an id stay together."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(packed(docs), F.col("doc_id").alias("own"))
-    return rows.join(written(kept, "kept").hint("merge"), F.col("own").eqNullSafe(F.col("id")), "left_semi").select("row.*")
+    """One row of each group of near duplicates, the first by (doc_id with null last, digest of the text), and every row without words."""
+    kept = near_duplicate_rows(docs).filter("kept AND n_shingles > 0").select(row_id("doc_id").alias("uid"), "th")
+    some = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    rows = docs.filter(some).select(packed(docs), row_id("doc_id").alias("uid"), text_key("text").alias("th"))
+    # Equal rows become one before they travel, so that a text of very many copies is no large group.
+    rows = rows.dropDuplicates(["uid", "th"]).join(written(kept, "kept").hint("merge"), ["uid", "th"], "left_semi")
+    return rows.select("row.*").unionByName(docs.filter(~some))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

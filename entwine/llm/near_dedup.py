@@ -11,9 +11,10 @@ between components that can reach the threshold, and these are tested in the sam
 all pairs that share a bucket. With 25 bands of 5, a pair at 0.8 shares no bucket with probability 5e-5.
 
 Defined results. Null and empty texts, and texts of white space: set size 0, linked with nothing, kept. Fewer words than
-k: the whole sequence is the one shingle. Rows that share an id are one document: what one of them links to, the other
-does. Rows without an id take part; among themselves they count as one document, their component_id is null if nothing
-with an id is reached. Other columns do not matter, whatever their names. An empty table gives an empty result.
+k: the whole sequence is the one shingle. Other columns do not matter, whatever their names. An empty table gives an
+empty result. In near_duplicate_rows, which op8 and the pipeline use, every row is a document: rows are linked by their
+texts alone, never by an id that they share or lack, and one row of each component is kept, the first by (doc_id with null
+last, th), any one of equal rows. In near_duplicates rows that share an id are one document, and so are those without one.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 MARGIN = 0.2
 NO_ID = -(1 << 62)
 
-SKETCHES = "uid long, th long, n long, s1 long, s2 long, sketch binary, bands array<long>"
+SKETCHES = "uid long, th long, rid long, n long, s1 long, s2 long, sketch binary, bands array<long>"
 
 
 def sketch(sets: list[np.ndarray], registers: int) -> np.ndarray:
@@ -82,7 +83,7 @@ def _sketches(k: int, registers: int, rows: int):
                 for q, i in enumerate(some):
                     digest[i] = np.frombuffer(hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), np.int64)
                     regs[i], keys[i] = values[q].tobytes(), band[q]
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), binary_column(regs), pa.array(keys, pa.list_(pa.int64()))], names=["uid", "th", "n", "s1", "s2", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("th"), b.column("rid"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), binary_column(regs), pa.array(keys, pa.list_(pa.int64()))], names=["uid", "th", "rid", "n", "s1", "s2", "sketch", "bands"])
 
     return run
 
@@ -154,12 +155,12 @@ def _crossing(unsettled: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     return both.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, registers: int = 125, rows: int = 5) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept. See the module for method and defined results."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, registers: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sketches of all rows, the rows of each class of equal sets, a representative of each class, and the components of these."""
+    small_batches(docs.sparkSession)
     base = docs.select(row_id(id_col).alias("uid"), text_key(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
-    sk = written(base.mapInArrow(_sketches(shingle, registers, rows), SKETCHES), "sketch")
+    numbered = base.select("uid", "th", F.monotonically_increasing_id().alias("rid"), "text")
+    sk = written(numbered.mapInArrow(_sketches(shingle, registers, rows), SKETCHES), "sketch")
 
     # Classes of equal sets; everything after works on one representative of each.
     some = sk.filter("n > 0")
@@ -197,6 +198,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = written(_crossing(unsettled, texts, shingle, percent), "crossing")
     if rest.limit(1).count():
         label = components(links.unionByName(test(rest, "links-crossing")), "cc-all")
+    return sk, members, reps, label
+
+
+def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, registers: int = 125, rows: int = 5) -> DataFrame:
+    """Per row of docs: doc_id, th (tells rows apart that share an id), n_shingles, component_id (the id of the row kept), kept."""
+    sk, _, reps, label = _linked(docs, id_col, text_col, shingle, percent, registers, rows)
+    doc_id = F.when(F.col("uid") != NO_ID, F.col("uid"))
+    first = F.min(F.struct((F.col("uid") == NO_ID).alias("none"), "uid", "th", "rid"))
+    classes = sk.filter("n > 0").groupBy("s1", "s2").agg(first.alias("first"))
+    classes = classes.withColumn("node", F.xxhash64("s1", "s2")).join(label, "node", "left").select("s1", "s2", "first", F.coalesce("component", "node").alias("component"))
+    classes = written(classes, "classes")
+    least = classes.groupBy("component").agg(F.min("first").alias("least"))
+    final = classes.join(least, "component").select("s1", "s2", "least")
+    out = sk.select("uid", "th", "rid", "n", "s1", "s2").join(final, ["s1", "s2"], "left")
+    lone = F.col("least").isNull()
+    component = F.when(lone, doc_id).otherwise(F.when(~F.col("least.none"), F.col("least.uid")))
+    return out.select(doc_id.alias("doc_id"), "th", F.col("n").alias("n_shingles"), component.alias("component_id"), (lone | F.coalesce(F.col("rid") == F.col("least.rid"), F.lit(False))).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, registers: int = 125, rows: int = 5) -> DataFrame:
+    """Per row of docs, with rows of one id as one document: doc_id, n_shingles, component_id, kept."""
+    sk, members, reps, label = _linked(docs, id_col, text_col, shingle, percent, registers, rows)
 
     # From nodes back to documents; ids with several texts tie their nodes together.
     tied = reps.select("node", F.col("uid").alias("rep")).join(label, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
@@ -217,4 +240,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
     from entwine.llm.common import table
 
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+    return near_duplicate_rows(table(spark, sf_dir, "documents"), shingle=4)

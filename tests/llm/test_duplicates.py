@@ -83,6 +83,27 @@ def test_near_dedup_odd_rows(spark):
     assert near_dedup.near_duplicates(clashing(spark, [])).count() == 0
 
 
+def test_rows_are_linked_by_text_alone(spark):
+    a, b, c, d = (" ".join(f"{p}{i}" for i in range(30)) for p in "abcd")
+    rows = [(5, a), (5, b), (3, b), (9, c), (9, c), (None, c), (None, "lonely text of seven words in all"), (None, d), (None, d), (None, None), (11, "")]
+    df = clashing(spark, [(i, t, "s") for i, t in rows])
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicate_rows(df).collect()), key=repr)
+    want = [(3, 26, 3, True), (5, 26, 3, False), (5, 26, 5, True), (9, 26, 9, True), (9, 26, 9, False), (None, 26, 9, False), (None, 3, None, True), (None, 26, None, True), (None, 26, None, False), (None, 0, None, True), (11, 0, 11, True)]
+    assert got == sorted(want, key=repr)
+    assert near_dedup.near_duplicate_rows(df.limit(0)).count() == 0
+
+
+def test_the_stage_keeps_one_row_of_each_group(spark, sf):
+    import corpus_pipeline as p
+
+    c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "cd")
+    rows = [(9, c), (9, c), (None, c), (None, "lonely text of seven words in all"), (None, d), (None, d), (None, None), (None, None), (4, " ")]
+    df = clashing(spark, [(i, t, "s") for i, t in rows])
+    out = p.near_dedup(spark, df, sf)
+    want = [(9, c), (None, "lonely text of seven words in all"), (None, d), (None, None), (None, None), (4, " ")]
+    assert out.columns == df.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_estimates_are_near(spark):
     r = np.random.RandomState(2)
     for j in (0.3, 0.6, 0.8, 0.95):
