@@ -39,10 +39,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    times = mix(docs).filter("times > 0").groupBy(F.col("doc_id").alias("id"), F.col("source").alias("s"), "th").agg(F.max("times").alias("times"))
-    rows = docs.select(packed(docs), F.col("doc_id").alias("own"), F.col("source").alias("own_s"), text_key("text").alias("own_th"))
-    rows = rows.join(times.hint("merge"), F.col("own").eqNullSafe(F.col("id")) & F.col("own_s").eqNullSafe(F.col("s")) & (F.col("own_th") == F.col("th")))
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+    # The rows go along, so that rows that share id, source and text keep their own numbers of times.
+    rows = mix(docs, carry=packed(docs)).filter("times > 0")
+    return rows.select(F.col("carried").alias("row"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

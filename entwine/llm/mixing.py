@@ -3,20 +3,22 @@
 Method. Every row has a 60-bit digest of its id. Sizes are summed by source and the top 15 bits; running sums over these
 bounded histograms find the bucket in which a source's budget ends. Only rows of that bucket are summed again by the next 15
 bits, and so on four times, until the bucket is one digest value. The rows below the threshold that results are taken;
-the digest at the threshold is taken too if that comes nearer. A target above a source's size takes every row the whole
+the digest at the threshold is taken too if that comes nearer. If several rows have that digest, the budget ends among them
+in the same way by a 60-bit digest of their texts, and among equal rows by their position. A target above a source's size takes every row the whole
 number of times first and selects the rest in the same way.
 
 Targets. Sources in order of code points, null last, weigh 3, 1, 2, repeating, and share a given part of all sizes; a target
 stops at twice its source's size and the excess is shared again by weight. That is the least level t with
 sum(min(2 size, t weight)) = total, found in one pass over the sources in order of size / weight.
 
-Defined results. Null text has size 0 and is taken 0 times. Rows that repeat an id share a digest and are taken together. A
-null source is a source of its own. If all sizes are 0, all targets are 0. Other columns do not matter.
+Defined results. Null text has size 0 and is taken 0 times. Rows that repeat an id or lack one share a digest of it, but are
+taken row by row where the budget ends among them; the SQL takes them together, so it has the same result where no id repeats.
+A null source is a source of its own. If all sizes are 0, all targets are 0. Other columns do not matter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from entwine.llm.common import table, text_key, word_count, written
@@ -43,30 +45,57 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     return s.select("source", "source_size", F.when(F.col("l").isNull() | (F.col("i") < F.col("l.i")), F.col("cap").cast("double")).otherwise(level).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row of docs: doc_id, th (tells rows apart that share an id), size, source, source_size, target, times, taken."""
-    h = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("th"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h")), "sizes")
-    t = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
-    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_TIMES))).otherwise(0).cast("long")
-    t = written(t.withColumn("whole", whole).withColumn("budget", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")), "targets")
+def _digest(c: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(c.cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
 
-    # Narrow every source's budget to one digest: (prefix, what is below it), level by level.
-    at = t.select("source", F.lit(0).cast("long").alias("prefix"), F.col("budget").alias("open"))
+
+def _ends(rows: DataFrame, by: str, budgets: DataFrame, tag: str) -> DataFrame:
+    """Where each source's budget ends: source, prefix (a value of `by`), what is open of the budget below it, its size and rows."""
+    at = budgets.select("source", F.lit(0).cast("long").alias("prefix"), "open")
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
         a = at.select(F.col("source").alias("s"), F.col("prefix").alias("p"), "open")
-        inside = rows.filter("size > 0").join(a, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift + BITS) == F.col("p")))
-        sums = inside.groupBy("source", F.shiftright("h", shift).alias("prefix")).agg(F.sum("size").alias("size"), F.first("open").alias("open"))
+        inside = rows.filter("size > 0").join(a, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright(by, shift + BITS) == F.col("p")))
+        sums = inside.groupBy("source", F.shiftright(by, shift).alias("prefix")).agg(F.sum("size").alias("size"), F.first("open").alias("open"), F.count("*").alias("n"))
         upto = F.sum("size").over(Window.partitionBy("source").orderBy("prefix"))
         ends = sums.withColumn("below", upto - F.col("size")).filter((F.col("below") <= F.col("open")) & (F.col("below") + F.col("size") > F.col("open")))
-        at = written(ends.select("source", "prefix", (F.col("open") - F.col("below")).alias("open"), "size"), f"level{level}")
-    # The digest in which the budget ends counts if half of it or more fits. No such digest: no budget, or all rows fit.
-    limit = at.select(F.col("source").alias("s"), F.when(F.col("open") * 2 >= F.col("size"), F.col("prefix")).otherwise(F.col("prefix") - 1).alias("limit"))
-    t = t.join(limit, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("limit", F.lit(-1).cast("long")).alias("limit"))
-    times = F.col("whole") + (F.col("h") <= F.col("limit")).cast("long")
-    out = rows.join(t, F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "th", "size", "source", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+        at = written(ends.select("source", "prefix", (F.col("open") - F.col("below")).alias("open"), "size", "n"), f"{tag}{level}")
+    return at
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Column | None = None) -> DataFrame:
+    """Per row of docs: doc_id, th (tells rows apart that share an id), size, source, source_size, target, times, taken; and carry."""
+    extra = [] if carry is None else [carry.alias("carried")]
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("th"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _digest(F.col(id_col)).alias("h"), F.monotonically_increasing_id().alias("rid"), *extra)
+    rows = written(rows, "sizes")
+    t = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_TIMES))).otherwise(0).cast("long")
+    t = written(t.withColumn("whole", whole).withColumn("budget", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")), "targets")
+
+    # Narrow every source's budget to one digest; where several rows have it, on by the digest of the text, then by position.
+    at = _ends(rows, "h", t.select("source", F.col("budget").alias("open")), "level")
+    order = {"h": F.col("h"), "x": _digest(F.col("th")), "rid": F.col("rid")}
+    tied, found = rows.select("source", "size", "h", order["x"].alias("x"), "rid"), []
+    for i, by in enumerate(order):
+        found.append(at.select(F.col("source").alias(f"s{i}"), F.col("prefix").alias(f"p{i}"), (F.col("open") * 2 >= F.col("size")).alias(f"half{i}")))
+        several = at.filter("n > 1")
+        if by == "rid" or several.limit(1).count() == 0:
+            break
+        nxt = list(order)[i + 1]
+        tied = written(tied.join(several.select(F.col("source").alias("s"), F.col("prefix").alias("p")), F.col("source").eqNullSafe(F.col("s")) & (F.col(by) == F.col("p"))).drop("s", "p"), f"tied-{nxt}")
+        at = _ends(tied, nxt, several.select("source", "open"), f"level-{nxt}-")
+
+    # The row in which the budget ends counts if half of it or more fits. No such row: no budget, or all rows fit.
+    t = t.select(F.col("source").alias("s"), "source_size", "target", "whole")
+    for i, f in enumerate(found):
+        t = t.join(f, F.col("s").eqNullSafe(F.col(f"s{i}")), "left").drop(f"s{i}")
+    more = F.lit(False)
+    for i, by in reversed(list(enumerate(order))[: len(found)]):
+        deeper = F.when(F.col(f"p{i + 1}").isNotNull(), more).otherwise(F.col(f"half{i}")) if i + 1 < len(found) else F.col(f"half{i}")
+        more = (order[by] < F.col(f"p{i}")) | ((order[by] == F.col(f"p{i}")) & deeper)
+    times = F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")
+    out = rows.join(t, F.col("source").eqNullSafe(F.col("s"))).withColumn("times", times)
+    return out.select("doc_id", "th", "size", "source", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), *(["carried"] if extra else []))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,3 +176,18 @@ def test_mix_comes_near_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
     empty = mixing.mix(clashing(spark, [(1, None, "a"), (2, " ", None)])).collect()
     assert all(r.target == 0 and r.taken == 0 for r in empty)
+
+
+def test_mix_splits_rows_without_ids(spark, sf):
+    import corpus_pipeline
+
+    text = lambda i: " ".join(["w", str(i)] * (3 + i % 5))
+    # One lump a source, if by id alone: the budget of b ends among equal rows, that of c among texts of one id.
+    rows = [(None, text(i), "a") for i in range(60)] + [(None, "the very same text", "b")] * 300 + [(7, text(i), "c") for i in range(300)]
+    df = clashing(spark, rows)
+    got = mixing.mix(df).toPandas()
+    for _, g in got.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max()
+    assert len(got) == len(rows)
+    out = corpus_pipeline.mixing(spark, df, sf)
+    assert out.columns == df.columns and out.count() == got.times.sum()
