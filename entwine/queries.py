@@ -340,6 +340,8 @@ add("hash_bucket_sample", lambda v: sampling.hash_sample(v.recs.select("id", "co
 add("hash_head", lambda v: sampling.hash_head(v.recs.select("id"), "id", 50), f"WITH {ENT} SELECT id FROM ent ORDER BY {_D.format('id')}, id LIMIT 50")
 add("stratified_split", lambda v: sampling.stratified(v.s1, v.truth, 0.2), f"WITH {REC}, {GT}, {S1}, k AS (SELECT s1_id, country, {_K} AS bucket FROM (SELECT s1.s1_id, country, count(matched_id) AS n_true FROM s1 LEFT JOIN gt USING (s1_id) GROUP BY ALL)) SELECT s1_id, country, bucket FROM k QUALIFY row_number() OVER (PARTITION BY country, bucket ORDER BY {_D.format('s1_id')}, s1_id) <= greatest(1, round_even(count(*) OVER (PARTITION BY country, bucket) * 0.2::DOUBLE, 0))")
 add("random_negatives", lambda v: sampling.without_matches(sampling.random_negatives(v.recs, 100), v.truth).select("s1_id", "cand_id", "msrc"), f"WITH {REC}, {GT}, r AS (SELECT id, country, src, row_number() OVER (PARTITION BY country, src ORDER BY {_D.format('id')}, id) AS r FROM rec QUALIFY r <= 100), n AS (SELECT country, src, count(*) AS n FROM r WHERE src > 1 GROUP BY ALL), p AS (SELECT q.id AS s1_id, c.id AS cand_id, 'S' || c.src AS msrc FROM r q JOIN n USING (country) JOIN r c ON c.country = q.country AND c.src = n.src AND c.r = (q.r - 1) % n.n + 1 WHERE q.src = 1) SELECT s1_id, cand_id, msrc FROM p ANTI JOIN gt ON p.s1_id = gt.s1_id AND p.cand_id = gt.matched_id")
+# The same under the operator's own bound of 62,500; random_negatives keeps the bound of 100, as a fixture.
+add("random_negatives_full", lambda v: sampling.without_matches(sampling.random_negatives(v.recs), v.truth).select("s1_id", "cand_id", "msrc"), SQL["random_negatives"].replace("QUALIFY r <= 100", "QUALIFY r <= 62500"))
 
 # Analytics
 _PAIR = f"{REC}, {GT}, pr AS (SELECT gt.*, q.country AS q_country, q, c FROM gt JOIN rec q ON q.id = s1_id JOIN rec c ON c.id = matched_id)"

@@ -141,3 +141,19 @@ def test_streaming_scores_like_a_batch(spark, sf, tmp_path):
     q = score.start(spark.readStream.schema(new.schema).parquet(str(tmp_path / "in")), known, lambda df, i: got.extend(df.collect()), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert sorted(got) == sorted(score.match_batch(new, known).collect())
+
+
+@pytest.fixture(scope="module")
+def large_blocks(spark, tmp_path_factory):
+    """390 documents of one country: ten names of 13 records a source, every text its own."""
+    path = tmp_path_factory.mktemp("blocks")
+    rows = [(i, f"some name {i // 39}\nown{i} words", "en", "web", 20) for i in range(390)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_full_random_negatives_are_not_cut_at_100(spark, large_blocks):
+    from entwine import queries
+
+    got = queries.queries()["random_negatives_full"](spark, large_blocks).collect()
+    assert len(got) == 260 and len({r.s1_id for r in got}) == 130 and len({r.cand_id for r in got}) == 260
