@@ -256,6 +256,9 @@ add("candidates_small_caps", lambda v: blocking.budgeted(blocking.candidates(v.r
 add("blocking_recall", lambda v: blocking.recall(v.cands, v.truth, v.s1).select("n_true", "n_found", *rounded("recall", "mean_candidates")), f"WITH {_blocks()}, {GT}, {S1}, t AS (SELECT DISTINCT s1_id, matched_id FROM gt) SELECT count(*) AS n_true, count(c.s1_id) AS n_found, round(count(c.s1_id)::DOUBLE / count(*), 6) AS recall, round((SELECT count(*) FROM cand)::DOUBLE / (SELECT count(*) FROM s1), 6) AS mean_candidates FROM t LEFT JOIN cand c ON t.s1_id = c.s1_id AND t.matched_id = c.cand_id")
 _side = lambda v, src, name: v.recs.filter(f"src {src} AND name_norm <> ''").select("country", "name_norm", F.col("id").alias(name))
 add("bounded_key_join", lambda v: blocking.bounded_key_join(_side(v, "= 1", "s1_id"), _side(v, "> 1", "cand_id"), ["country", "name_norm"], 50).select("s1_id", "cand_id"), f"WITH {REC}, k AS (SELECT country, name_norm FROM rec WHERE name_norm <> '' GROUP BY ALL HAVING count(*) FILTER (WHERE src = 1) * count(*) FILTER (WHERE src > 1) <= 50) SELECT q.id AS s1_id, c.id AS cand_id FROM rec q JOIN rec c USING (country, name_norm) JOIN k USING (country, name_norm) WHERE q.src = 1 AND c.src > 1")
+# Blocking and assignment (below) under the operators' own bounds; the queries of small bounds stay as fixtures.
+add("bounded_key_join_full", lambda v: blocking.bounded_key_join(_side(v, "= 1", "s1_id"), _side(v, "> 1", "cand_id"), ["country", "name_norm"]).select("s1_id", "cand_id"))
+add("block_pruned_keys_full", lambda v: blocking.oversized(blocking.candidate_postings(v.recs)), f"WITH {_blocks()} SELECT country, ch AS channel, key, size FROM big")
 
 # Features
 _g = lambda f, n: lambda v: v.recs.select("id", F.size(sets.ngrams(F.col(f), n)).cast("long").alias("n_grams"), F.array_join(F.sort_array(sets.ngrams(F.col(f), n)), "|").alias("grams"))
@@ -310,6 +313,7 @@ _GREEDY = """e AS (SELECT row_number() OVER (ORDER BY conf DESC, s1_id, cand_id)
       CASE WHEN NOT list_contains(cs, e.cand_id) AND len(list_filter(ss, lambda x: x = e.s1_id)) < {2} THEN list_append(ss, e.s1_id) ELSE ss END
     FROM walk w JOIN e ON e.i = w.i + 1)"""
 add("assign_disjoint", lambda v: _pairs(select.assign(v.edges, 0.88, 2)), f"WITH RECURSIVE {EDGES}, {_GREEDY.format('edges', 0.88, 2)} SELECT s1_id, cand_id FROM walk WHERE ok")
+add("assign_disjoint_full", lambda v: _pairs(select.assign(v.edges, 0.88)))
 add("assign_scored", lambda v: _pairs(select.assign(v.scored)), f"WITH RECURSIVE {SCORED}, {_GREEDY.format('scored', 0.88, 11)} SELECT s1_id, cand_id FROM walk WHERE ok")
 
 # Metrics
