@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df read back from a checkpoint in the folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    """df read back from a checkpoint in the folder of spark.checkpoint.dir. Without it a session in one process gets a folder of its own; a cluster gets an error."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="entwine-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="entwine-"))
     return df.checkpoint()
