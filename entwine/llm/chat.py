@@ -4,11 +4,12 @@ Method. Turns of a conversation are collected as structs, sorted by (turn, role,
 by an array aggregation, and the message strings concatenated. Template of a message: `<|im_start|>` role newline body
 `<|im_end|>` newline; the body of merged turns is their texts with `<|turn|>` between. Inside roles and texts `\` becomes
 `\\` and `<|` becomes `<\|`, and a newline inside a role becomes `<|nl|>`, so no control string can arise from them and parse() gives back every turn. The loss mask covers
-the texts of assistant turns, without separators: spans (start, length) in code points of the formatted text.
+the texts of assistant turns, without separators: spans (start, length) in code points of the formatted text, and in its bytes.
 
 Defined results. Null texts and roles are empty. Null turns sort first; ties sort by role and text; repeated rows are turns
 of their own. Rows with a null conversation id are one conversation with a null id. Other columns do not matter. An
-empty table gives an empty result. A conversation's turns meet in one row, as its result is one string.
+empty table gives an empty result. A conversation's turns meet in one row, as its result is one string; very long texts and very
+many turns take time and memory in proportion.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entwine.llm.common import table
+from entwine.llm.common import bound, table
 
 START, END, TURN, BREAK = "<|im_start|>", "<|im_end|>\n", "<|turn|>", "<|nl|>"
+BLOCK = 256
 TRAP = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -31,7 +33,7 @@ def unescape(c: Column) -> Column:
 
 
 def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained: str = "assistant") -> DataFrame:
-    """Per conversation: conv_id, formatted, loss array<struct<start,length>> (0-based code points, trained roles' texts)."""
+    """Per conversation: conv_id, formatted, loss array<struct<start,length,byte_start,byte_length>> (0-based, trained roles' texts)."""
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     turns = rows.select(F.col(conv_col).alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     # A turn opens a message if its role differs from the one before, and closes one if it differs from the next.
@@ -43,16 +45,32 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
         (t["role"] == trained).alias("trained"),
     )
     pieces = sized.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    # Held in a one-element array, so that the pieces are not made again for every use of them below.
+    return pieces.select("conv_id", bound(F.col("pieces"), lambda p: F.struct(F.array_join(F.transform(p, lambda x: F.concat(x["before"], x["body"], x["after"])), "").alias("formatted"), loss_spans(p).alias("loss"))).alias("r")).select("conv_id", "r.formatted", "r.loss")
+
+
+def loss_spans(pieces: Column) -> Column:
+    """Spans of the trained bodies, in code points and in bytes, as running sums over blocks of BLOCK pieces and inside each block:
+    the work grows with the pieces, not with their square."""
+    sizes = lambda p: F.struct(
+        (F.char_length(p["before"]) + F.char_length(p["body"]) + F.char_length(p["after"])).cast("long").alias("chars"),
+        (F.octet_length(p["before"]) + F.octet_length(p["body"]) + F.octet_length(p["after"])).cast("long").alias("bytes"),
+    )
+    plus = lambda a, b: F.struct((a["chars"] + b["chars"]).alias("chars"), (a["bytes"] + b["bytes"]).alias("bytes"))
+    zero = F.struct(F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("bytes"))
+    blocks = lambda p: F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int"))
+    of = lambda p, b: F.slice(p, b * BLOCK + 1, BLOCK)
+    totals = F.transform(blocks(pieces), lambda b: F.aggregate(F.transform(of(pieces, b), sizes), zero, plus))
+    starts = F.aggregate(totals, F.array(zero), lambda acc, x: F.concat(acc, F.array(plus(F.element_at(acc, -1), x))))
 
     def walk(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.char_length(p["before"])
-        length = F.char_length(p["body"]).cast("long")
-        spans = F.when(p["trained"], F.concat(acc["spans"], F.array(F.struct(start.alias("start"), length.alias("length"))))).otherwise(acc["spans"])
-        return F.struct((start + length + F.char_length(p["after"])).alias("at"), spans.alias("spans"))
+        head = plus(acc["at"], F.struct(F.char_length(p["before"]).cast("long").alias("chars"), F.octet_length(p["before"]).cast("long").alias("bytes")))
+        span = F.struct(head["chars"].alias("start"), F.char_length(p["body"]).cast("long").alias("length"), head["bytes"].alias("byte_start"), F.octet_length(p["body"]).cast("long").alias("byte_length"))
+        return F.struct(plus(acc["at"], sizes(p)).alias("at"), F.when(p["trained"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    text = F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["body"], p["after"])), "")
-    return pieces.select("conv_id", text.alias("formatted"), F.aggregate("pieces", empty, walk)["spans"].alias("loss"))
+    none = F.array().cast("array<struct<start:bigint,length:bigint,byte_start:bigint,byte_length:bigint>>")
+    inside = lambda at, b: F.aggregate(of(pieces, b), F.struct(F.element_at(at, b + 1).alias("at"), none.alias("spans")), walk)["spans"]
+    return bound(starts, lambda at: F.flatten(F.transform(blocks(pieces), lambda b: inside(at, b))))
 
 
 def parse(formatted: Column) -> Column:
@@ -64,7 +82,9 @@ def parse(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, loss: Column) -> Column:
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """The texts under the mask, unescaped. Spans are cut from the bytes, so that a cut costs its own length and not what lies before it."""
+    cut = lambda raw, s: F.decode(F.substring(raw, (s["byte_start"] + 1).cast("int"), s["byte_length"].cast("int")), "UTF-8")
+    return bound(F.struct(formatted.cast("binary").alias("raw"), loss.alias("loss")), lambda x: F.array_join(F.transform(x["loss"], lambda s: unescape(cut(x["raw"], s))), ""))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Texts are worked on in pieces of about so many bytes, which bounds a worker's memory.
 PIECE = 1 << 20
+TILE = 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +33,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Without it a session in one process gets a folder of its own; a cluster gets an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="entwine-"))
     return _own_dir[0]
@@ -78,6 +81,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lowered, SPACE), lambda w: w != "")
 
 
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value computed once however often, and in whatever lambda, `of` uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
@@ -152,11 +160,33 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _WORDS = Rolling(11)
 
 
+def _blank(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all rows, and the number of the row of each."""
+    """Hashes of the lower-cased words of all rows, and the number of the row of each.
+
+    A row longer than TILE goes by tiles that end at white space, so its words take memory, not a multiple of its bytes
+    (but for a single word of more than TILE bytes, which is a tile of its own).
+    """
     n = len(data)
+    if len(off) == 2 and n > TILE:
+        found, at = [], 0
+        while at < n:
+            stop = min(n, at + TILE)
+            while stop < n:
+                space = np.flatnonzero(_blank(data[at:stop]))
+                if len(space):
+                    stop = at + int(space[-1]) + 1
+                    break
+                stop = min(n, stop + TILE)
+            found.append(word_hashes(data[at:stop], np.array([0, stop - at, stop - at]))[0])
+            at = stop
+        h = np.concatenate(found)
+        return h, np.zeros(len(h), np.int64)
     low = data + np.uint8(32) * ((data >= 65) & (data <= 90)).astype(np.uint8)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    inside = ~_blank(data)
     cut = np.zeros(n + 1, bool)
     cut[off] = True
     before, after = np.zeros(n, bool), np.zeros(n, bool)
@@ -194,11 +224,6 @@ def binary_column(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that a batch of very long texts still fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-
-
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """(node, component) of the graph of edges (a, b): the smallest node that each node reaches.
 
