@@ -8,12 +8,16 @@ to the document's count.
 Tokens that begin inside a section but end in a later one are reported as n_crossing of the section that gets them.
 
 Defined results. Null text is empty. A text without bytes has one section of 0 tokens. Control strings in texts are ordinary
-text. Rows that repeat an id are counted each. Other columns do not matter. An empty table gives an empty result.
+text. Rows that repeat an id are counted each; ties do not arise. Other columns do not matter. An empty table gives an empty
+result. Very long texts are encoded whole, one at a time; but a run of over STRETCH white-space characters is encoded in
+stretches of STRETCH, which no token crosses, as the pattern's matching would run out of stack on it.
 """
 
 from __future__ import annotations
 
 import base64
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entwine.llm.common import bytes_of, pieces, small_batches, table
+from entwine.llm.common import bytes_of, pieces, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits texts before byte-pair merges, part of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+STRETCH = 50_000
 SCHEMA = "doc_id long, section int, n_bytes long, n_tokens long, n_crossing long"
 
 
@@ -37,6 +42,16 @@ def attribute(starts: np.ndarray, stops: np.ndarray, ends: np.ndarray) -> tuple[
     return np.bincount(own, minlength=last + 1), np.bincount(own[stops > ends[own]], minlength=last + 1)
 
 
+def stretches(text: str) -> Iterator[str]:
+    """The text, cut only inside runs of more than STRETCH white-space characters."""
+    at = 0
+    for run in re.finditer(r"\s{%d,}" % (STRETCH + 1), text):
+        for cut in range(run.start() + STRETCH, run.end(), STRETCH):
+            yield text[at:cut]
+            at = cut
+    yield text[at:]
+
+
 def _counter(ranks: dict[bytes, int], pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -55,7 +70,8 @@ def _counter(ranks: dict[bytes, int], pattern: str):
                 lo, hi = int(off[i]), int(off[i + 1])
                 own = breaks[np.searchsorted(breaks, lo, "right") : np.searchsorted(breaks, hi, "right")] - lo
                 ends = own if len(own) and own[-1] == hi - lo else np.append(own, hi - lo)
-                stops = np.cumsum(width[np.array(coder.encode_ordinary(raw[lo:hi].decode("utf-8", "replace")), np.int64)]) if hi > lo else np.zeros(0, np.int64)
+                encoded = [x for s in stretches(raw[lo:hi].decode("utf-8", "replace")) for x in coder.encode_ordinary(s)]
+                stops = np.cumsum(width[np.array(encoded, np.int64)])
                 n, x = attribute(np.concatenate([[0], stops[:-1]])[: len(stops)], stops, ends)
                 ids += [doc[i]] * len(ends)
                 section.append(np.arange(len(ends)))
@@ -73,8 +89,8 @@ def load_ranks(lines: list[str]) -> dict[bytes, int]:
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, section, n_bytes, n_tokens, n_crossing) of every line of every text."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    if not os.path.isfile(vocabulary):
+        raise FileNotFoundError(f"no vocabulary at {vocabulary}: name a file of token ranks in the parameter `vocabulary`")
     with open(vocabulary, encoding="ascii") as f:  # the driver's own file; workers get the ranks with the function
         ranks = load_ranks(f.readlines())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
