@@ -9,7 +9,8 @@ Labels, language, source and ids are never inputs of a score. Rows whose crc32(i
 
 Defined results. Null and empty texts have the statistics of an empty text and get a score. Without labelled rows, or with
 labels of one kind, the score is the share of label 1 (0.5 without any). Labels that are null or not 0 or 1 are left out; rows that
-repeat an id count as often as they occur. Other columns do not matter. An empty table gives an empty result.
+repeat an id count as often as they occur. Rows that tie in the order of the sample differ in nothing that is learnt from.
+Very long texts: one row holds a text, its words and its lines. Other columns do not matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -146,8 +147,10 @@ def compile_rules(intercept: float, rules: list[tuple[float, Rule]]) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[float, list[tuple[float, Rule]]]:
-    """Fits the ensemble on at most `sample` labelled rows that are not held out."""
+    """Fits the ensemble on at most `sample` labelled rows of docs that are not held out. A model without rules scores all rows alike."""
     some = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter(F.col("__id").isNotNull() & F.col("__y").isin(0, 1) & ~held_out("__id"))
+    # The sample is drawn among labels of these documents, so that labels of others take no place in it.
+    some = some.join(docs.select(quoted(id_col).alias("__id")).distinct(), "__id", "left_semi")
     some = some.orderBy(F.xxhash64("__id"), "__id", "__y").limit(sample)
     # At most `sample` rows of two numbers: the bound of this broadcast.
     rows = docs.select(quoted(id_col).alias("__id"), quoted(text_col).alias("__t")).join(F.broadcast(some), "__id")
