@@ -9,11 +9,14 @@ number of times first and selects the rest in the same way.
 
 Targets. Sources in order of code points, null last, weigh 3, 1, 2, repeating, and share a given part of all sizes; a target
 stops at twice its source's size and the excess is shared again by weight. That is the least level t with
-sum(min(2 size, t weight)) = total, found in one pass over the sources in order of size / weight.
+sum(min(2 size, t weight)) = total, found by running totals over the sources in order of size / weight, which are
+range-partitioned, so that sources may be hosts; histograms are summed in two steps, so a task has few buckets of a source.
 
 Defined results. Null text has size 0 and is taken 0 times. Rows that repeat an id or lack one share a digest of it, but are
 taken row by row where the budget ends among them; the SQL takes them together, so it has the same result where no id repeats.
-A null source is a source of its own. If all sizes are 0, all targets are 0. Other columns do not matter.
+Rows whose digests tie are told apart in that order, and no other ties arise. A null source is a source of its own. If all sizes
+are 0, all targets are 0. Very long texts: only the number of their words counts. Other columns do not matter. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from entwine.llm.common import table, text_key, word_count, written
+from entwine.plans.running import running
 
 WEIGHTS = (3, 1, 2)
 PERCENT, MOST_TIMES = 150, 2
@@ -29,20 +33,21 @@ BITS, LEVELS = 15, 4
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT) -> DataFrame:
-    """sizes(source, source_size) with target: one row a source, few rows whatever the input."""
-    n = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.row_number().over(n) - 1) % len(weights) + 1).cast("int")).cast("long")
-    s = sizes.withColumn("w", w).withColumn("cap", F.lit(MOST_TIMES).cast("long") * F.col("source_size"))
+    """sizes(source, source_size), a row a source, with target. Ranks and sums in order are running totals over ranges of sources."""
+    hold = lambda df: written(df, "sources")
+    s = running(sizes, [F.col("source").asc_nulls_last()], {"i": F.lit(1)}, hold)
+    w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.col("i") % len(weights) + 1).cast("int")).cast("long")
+    s = s.withColumn("w", w).withColumn("cap", F.lit(MOST_TIMES).cast("long") * F.col("source_size")).drop("i")
     # In order of cap / weight the sources that reach their cap come first.
-    by = Window.orderBy((F.col("cap").cast("double") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before, rest = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    s = s.withColumn("left", F.sum("source_size").over(every) * percent - 100 * F.coalesce(F.sum("cap").over(before), F.lit(0)))  # in hundredths
-    s = s.withColumn("ws", F.sum("w").over(rest)).withColumn("at_cap", 100 * F.col("cap") * F.col("ws") <= F.col("left") * F.col("w"))
-    s = s.withColumn("i", F.row_number().over(by))
-    s = s.withColumn("l", F.min(F.when(~F.col("at_cap"), F.struct("i", "left", "ws"))).over(every))
+    s = s.withColumn("ratio", F.col("cap").cast("double") / F.col("w"))
+    s = running(s, [F.col("ratio").asc(), F.col("source").asc_nulls_last()], {"i": F.lit(1), "caps": F.col("cap"), "ws": F.col("w")}, hold)
+    every = s.agg(F.sum("source_size").alias("total"), F.sum("w").alias("w_total"))  # one row
+    s = s.crossJoin(F.broadcast(every)).withColumn("left", F.col("total") * percent - 100 * F.col("caps")).withColumn("ws", F.col("w_total") - F.col("ws"))  # left: in hundredths
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    s = written(s.withColumn("at_cap", 100 * wide("cap") * wide("ws") <= wide("left") * wide("w")).select("source", "source_size", "cap", "w", "i", "left", "ws", "at_cap"), "levels")
+    first = s.filter(~F.col("at_cap")).agg(F.min(F.struct("i", "left", "ws")).alias("l"))  # one row
     level = (F.col("l.left") * F.col("w")).cast("double") / (100 * F.col("l.ws")).cast("double")
-    return s.select("source", "source_size", F.when(F.col("l").isNull() | (F.col("i") < F.col("l.i")), F.col("cap").cast("double")).otherwise(level).alias("target"))
+    return s.crossJoin(F.broadcast(first)).select("source", "source_size", F.when(F.col("l").isNull() | (F.col("i") < F.col("l.i")), F.col("cap").cast("double")).otherwise(level).alias("target"))
 
 
 def _digest(c: Column) -> Column:
@@ -51,15 +56,25 @@ def _digest(c: Column) -> Column:
 
 def _ends(rows: DataFrame, by: str, budgets: DataFrame, tag: str) -> DataFrame:
     """Where each source's budget ends: source, prefix (a value of `by`), what is open of the budget below it, its size and rows."""
+
+    def last(sums: DataFrame, column: str) -> DataFrame:
+        """The bucket in which what is open ends, with what is open below it; a source has 2 ** (BITS / 2) buckets here, about."""
+        upto = F.sum("size").over(Window.partitionBy("source").orderBy(column))
+        ends = sums.withColumn("below", upto - F.col("size")).filter((F.col("below") <= F.col("open")) & (F.col("below") + F.col("size") > F.col("open")))
+        return ends.withColumn("open", F.col("open") - F.col("below")).drop("below")
+
     at = budgets.select("source", F.lit(0).cast("long").alias("prefix"), "open")
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
         a = at.select(F.col("source").alias("s"), F.col("prefix").alias("p"), "open")
         inside = rows.filter("size > 0").join(a, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright(by, shift + BITS) == F.col("p")))
         sums = inside.groupBy("source", F.shiftright(by, shift).alias("prefix")).agg(F.sum("size").alias("size"), F.first("open").alias("open"), F.count("*").alias("n"))
-        upto = F.sum("size").over(Window.partitionBy("source").orderBy("prefix"))
-        ends = sums.withColumn("below", upto - F.col("size")).filter((F.col("below") <= F.col("open")) & (F.col("below") + F.col("size") > F.col("open")))
-        at = written(ends.select("source", "prefix", (F.col("open") - F.col("below")).alias("open"), "size", "n"), f"{tag}{level}")
+        # The histogram in two steps: first its coarse buckets, then the fine ones of the coarse bucket found.
+        sums = written(sums.withColumn("coarse", F.shiftright("prefix", BITS - BITS // 2)), f"{tag}sums{level}")
+        coarse = last(sums.groupBy("source", "coarse").agg(F.sum("size").alias("size"), F.first("open").alias("open")), "coarse")
+        c = coarse.select(F.col("source").alias("s"), F.col("coarse").alias("c"), F.col("open").alias("rest"))
+        fine = sums.join(c, F.col("source").eqNullSafe(F.col("s")) & (F.col("coarse") == F.col("c"))).select("source", "prefix", "size", F.col("rest").alias("open"), "n")
+        at = written(last(fine, "prefix").select("source", "prefix", "open", "size", "n"), f"{tag}{level}")
     return at
 
 
@@ -93,7 +108,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for i, by in reversed(list(enumerate(order))[: len(found)]):
         deeper = F.when(F.col(f"p{i + 1}").isNotNull(), more).otherwise(F.col(f"half{i}")) if i + 1 < len(found) else F.col(f"half{i}")
         more = (order[by] < F.col(f"p{i}")) | ((order[by] == F.col(f"p{i}")) & deeper)
-    times = F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")
+    times = F.when(F.col("size") > 0, F.least(F.col("whole") + F.coalesce(more, F.lit(False)).cast("long"), F.lit(MOST_TIMES))).otherwise(0).cast("long")
     out = rows.join(t, F.col("source").eqNullSafe(F.col("s"))).withColumn("times", times)
     return out.select("doc_id", "th", "size", "source", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), *(["carried"] if extra else []))
 
