@@ -9,11 +9,14 @@ structure it is small; on vectors without any it nears the whole ordering, as fo
 
 A task gets a bounded group at any size: the vectors of each key range and the queries that touch it are counted. Ranges with
 over BLOCK_MOST vectors are dealt by a digest into parts that each of those queries meets in turn, the queries of a range into slices
-of about SLICE. So a range is sent once for every slice of its own queries, and not at all if none touches it. Of vectors that tie,
-the ones with the smallest ids stay, k + 1 a group.
+of about SLICE. So a range is sent once for every slice of its own queries, and not at all if none touches it.
 
-Only the sample (SAMPLE vectors at most) comes to the driver; every vector is indexed. Equal vectors are one entry with its
-smallest ids: of equal vectors only those can be among the k nearest, as ties go to smaller ids.
+Scores. Every vector that leaves a group has its cosine from both original vectors at twice the precision of a double, rounded
+once, so that it depends on nothing else and equal directions tie exactly; ids are made distinct before each cut, and cuts keep
+the k + 1 nearest ids, ties to smaller ones.
+
+Only the sample (SAMPLE vectors at most) comes to the driver; every vector is indexed. Of equal vectors (by a 128-bit digest)
+only the k + 1 smallest ids take part, as only those can be among the k nearest.
 
 Defined results. Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id take no part, nor
 do vectors whose length isn't the most frequent one (the larger of equals). A repeated id counts once, with its nearer
@@ -28,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from entwine.llm.common import small_batches, table, written
+from entwine.llm.common import mix, table, written
 
 CURVES, AXES, DEPTH = 6, 6, 8
 BLOCK, SAMPLE, PROBES, RECALL = 2048, 8192, 256, 0.97
@@ -149,7 +153,7 @@ def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _placed(curves: Curves, cuts: np.ndarray, marks: np.ndarray, reach: float, parts: np.ndarray, slices: np.ndarray, query: bool):
-    """Rows (curve, block, part, slice, key, least, vec): a vector in one part of the block of its key, for every slice of it; a query
+    """Rows (curve, block, part, slice, k1, k2, id, vec): a vector in one part of the block of its key, for every slice of it; a query
     in its slice, for all parts of the blocks that its window touches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +162,8 @@ def _placed(curves: Curves, cuts: np.ndarray, marks: np.ndarray, reach: float, p
                 continue
             vectors = matrix(b.column("vec"))
             keys = curves.keys(unit(vectors))
-            digest = b.column("key").to_numpy().view(np.uint64)
+            digest = b.column("k1").to_numpy().view(np.uint64)
+            mixed = digest if query else mix(digest + b.column("id").to_numpy().view(np.uint64))  # equal vectors spread, too
             step = max(1, BATCH // (8 * vectors.shape[1]))
             for c in range(CURVES):
                 if query:
@@ -172,36 +177,91 @@ def _placed(curves: Curves, cuts: np.ndarray, marks: np.ndarray, reach: float, p
                     at = np.searchsorted(cuts[c], keys[:, c], "right")
                     row, slice_ = _spread(slices[c][at])
                     at = at[row]
-                    part = (digest[row] % parts[c][at].astype(np.uint64)).astype(np.int64)
+                    part = (mixed[row] % parts[c][at].astype(np.uint64)).astype(np.int64)
                 for i in range(0, len(row), step):
                     own = slice(i, i + step)
                     take = pa.array(row[own])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), c, np.int32)), *[pa.array(x[own].astype(np.int32)) for x in (at, part, slice_)], *[b.column(x).take(take) for x in ("key", "least", "vec")]], names=["curve", "block", "part", "slice", "key", "least", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(take), c, np.int32)), *[pa.array(x[own].astype(np.int32)) for x in (at, part, slice_)], *[b.column(x).take(take) for x in ("k1", "k2", "id", "vec")]], names=["curve", "block", "part", "slice", "k1", "k2", "id", "vec"])
 
     return run
 
 
+def _two_product(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a * b as the nearest double and the exact rest."""
+    split = lambda x: (t := x * 134217729.0, h := t - (t - x), x - h)[1:]
+    (ah, al), (bh, bl), p = split(a), split(b), a * b
+    return p, ((ah * bh - p) + ah * bl + al * bh) + al * bl
+
+
+def _two_sum(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    s = a + b
+    t = s - a
+    return s, (a - (s - t)) + (b - t)
+
+
+def _dot(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row-wise dot products in twice the precision of a double: value and rest."""
+    hi, lo = np.zeros(len(x)), np.zeros(len(x))
+    for d in range(x.shape[1]):
+        p, e = _two_product(x[:, d], y[:, d])
+        hi, f = _two_sum(hi, p)
+        lo = lo + (e + f)
+    return _two_sum(hi, lo)
+
+
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row-wise cosines, each the double nearest to the true value but for cases too close to call at twice the precision.
+
+    So a score depends on its two vectors only, never on a group or an order of sums, and equal directions tie exactly.
+    """
+    # Powers of two change no digit and keep squares in range.
+    x, y = (np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1]) for v in (x, y))
+    (d, de), (a, ae), (b, be) = _dot(x, y), _dot(x, x), _dot(y, y)
+    p, e = _two_product(a, b)
+    p, e = _two_sum(p, e + (a * be + b * ae))
+    root = np.sqrt(p)
+    s, t = _two_product(root, root)
+    rest = ((p - s) - t + e) / (2 * root)  # root + rest is the square root to twice the precision
+    q = d / root
+    u, v = _two_product(q, root)
+    return np.clip(q + ((d - u) - v + de - q * rest) / root, -1.0, 1.0)
+
+
 def _best(k: int):
+    """The k nearest distinct ids of one group for each query, by exact scores, ties to smaller ids."""
+
+    def top(s: np.ndarray, q: np.ndarray, v: np.ndarray, ids: np.ndarray, m: int) -> tuple[np.ndarray, ...]:
+        # All that may tie with the m-th; the matrix product's rounding is far below 1e-12.
+        last = -np.partition(-s, m - 1, axis=1)[:, m - 1] - 1e-12
+        r, c = np.nonzero(s >= last[:, None])
+        exact = np.concatenate([cosines(q[r[i : i + 65536]], v[c[i : i + 65536]]) for i in range(0, len(r), 65536)])
+        order = np.lexsort((-exact, ids[c], r))
+        r, c, exact = r[order], c[order], exact[order]
+        first = np.append(True, (r[1:] != r[:-1]) | (ids[c[1:]] != ids[c[:-1]]))  # an id's nearest vector
+        r, c, exact = r[first], c[first], exact[first]
+        order = np.lexsort((ids[c], -exact, r))
+        return r[order], c[order], exact[order]
+
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        names = ("query", "key", "least", "score")
         if not vectors.num_rows or not queries.num_rows:
-            return pa.table({n: pa.array([], pa.float64() if n == "score" else pa.int64()) for n in names})
-        v = unit(matrix(vectors.column("vec").combine_chunks()))
-        ids, least, qs = vectors.column("key").to_numpy(), vectors.column("least").to_numpy(), queries.column("key").to_numpy()
-        q = unit(matrix(queries.column("vec").combine_chunks()))
+            return pa.table({n: pa.array([], pa.float64() if n == "score" else pa.int64()) for n in ("q1", "q2", "id", "score")})
+        raw, asked = matrix(vectors.column("vec").combine_chunks()), matrix(queries.column("vec").combine_chunks())
+        v, ids = unit(raw), vectors.column("id").to_numpy()
+        q1, q2 = queries.column("k1").to_numpy(), queries.column("k2").to_numpy()
+        distinct = len(np.unique(ids))
         out = []
-        for i in range(0, len(q), 512):
-            s = q[i : i + 512] @ v.T
-            m = min(k, s.shape[1])
-            # All that tie with the last one, of which those with the least ids stay.
-            last = -np.partition(-s, m - 1, axis=1)[:, m - 1] - 1e-12
-            r, c = np.nonzero(s >= last[:, None])
-            order = np.lexsort((least[c], -np.round(s[r, c], 12), r))
-            r, c = r[order], c[order]
-            stay = _spread(np.bincount(r, minlength=len(s)))[1] < m
-            r, c = r[stay], c[stay]
-            out.append((qs[i : i + 512][r], ids[c], least[c], s[r, c]))
-        return pa.table({n: pa.array(np.concatenate([o[j] for o in out])) for j, n in enumerate(names)})
+        for i in range(0, len(asked), 512):
+            q = asked[i : i + 512]
+            s = unit(q) @ v.T
+            left, m = np.arange(len(q)), min(k, len(v))
+            while len(left):
+                r, c, exact = top(s[left], q[left], raw, ids, m)
+                n = np.bincount(r, minlength=len(left))
+                enough = (n >= min(k, distinct)) | (m == len(v))  # else one id's vectors take the places of others
+                stay = enough[r] & (_spread(n)[1] < k)
+                out.append((q1[i + left[r[stay]]], q2[i + left[r[stay]]], ids[c[stay]], exact[stay]))
+                left, m = left[~enough], min(4 * m, len(v))
+        return pa.table({n: pa.array(np.concatenate([o[j] for o in out])) for j, n in enumerate(("q1", "q2", "id", "score"))})
 
     return run
 
@@ -209,19 +269,21 @@ def _best(k: int):
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by `every`."""
     spark = vectors.sparkSession
-    small_batches(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).filter("id is not null")
+    # Single-precision components travel as such; all arithmetic is in double precision.
+    kind = "float" if isinstance(vectors.schema[vec_col].dataType.elementType, FloatType) else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec")).filter("id is not null")
     rows = rows.filter(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0))
     length = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.size("vec") == length["d"]).select("id", "vec", F.xxhash64(F.transform("vec", lambda x: x + 0.0)).alias("key"))
-    few = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("r") <= k + 1)
-    entries = written(few.groupBy("key").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_set("id")).alias("ids")), "vectors")
-    asked = written(rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("key").alias("query")).distinct(), "queries")
+    same = F.transform("vec", lambda x: x + F.lit(0.0).cast(kind))  # -0.0 is 0.0
+    rows = rows.filter(F.size("vec") == length["d"]).select("id", same.alias("vec")).select("id", "vec", F.xxhash64("vec").alias("k1"), F.xxhash64(F.lit(1), F.col("vec")).alias("k2"))
+    few = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("k1", "k2").orderBy("id"))).filter(F.col("r") <= k + 1)
+    entries = written(few.groupBy("k1", "k2", "id").agg(F.first("vec").alias("vec")), "vectors")
+    asked = written(rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("k1").alias("q1"), F.col("k2").alias("q2")).distinct(), "queries")
 
     n = entries.count()
-    sample = entries.select("key", "vec").orderBy("key").limit(SAMPLE).toPandas()
+    sample = entries.select("k1", "k2", "id", "vec").orderBy("k1", "k2", "id").limit(SAMPLE).toPandas()
     u = unit(np.stack(sample["vec"].to_numpy()).astype(np.float64))
     curves = Curves(u)
     keys = curves.keys(u)
@@ -230,9 +292,9 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     marks = np.sort(keys, axis=0).T
     cuts = np.stack([m[[len(m) * i // blocks for i in range(1, blocks)]] for m in marks])
 
-    held = entries.select("key", F.element_at("ids", 1).alias("least"), "vec")
-    wanted = asked.select(F.col("query").alias("key")).distinct()
-    questions = held.join(wanted, "key", "left_semi").select("key", "least", "vec")
+    wanted = asked.select(F.col("q1").alias("k1"), F.col("q2").alias("k2")).distinct()
+    questions = entries.join(wanted, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("vec").alias("vec"))
+    questions = written(questions, "questions")
 
     def shares(df: DataFrame, query: bool, most: int) -> np.ndarray:
         """Into how many groups of `most` rows the rows of each block go; at most CURVES times SAMPLE / 4 counts come to the driver."""
@@ -243,16 +305,15 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     parts, slices = shares(entries, False, BLOCK_MOST), shares(questions, True, SLICE)
 
-    schema = "curve int, block int, part int, slice int, key long, least long, vec array<double>"
+    schema = f"curve int, block int, part int, slice int, k1 long, k2 long, id long, vec array<{kind}>"
     group = ("curve", "block", "part", "slice")
-    placed = held.mapInArrow(_placed(curves, cuts, marks, reach, parts, slices, False), schema)
+    placed = entries.mapInArrow(_placed(curves, cuts, marks, reach, parts, slices, False), schema)
     questions = questions.mapInArrow(_placed(curves, cuts, marks, reach, parts, slices, True), schema)
-    pairs = placed.groupBy(*group).cogroup(questions.groupBy(*group)).applyInArrow(_best(k + 1), "query long, key long, least long, score double")
-    pairs = pairs.groupBy("query", "key").agg(F.max("score").alias("score"), F.min("least").alias("least"))
-    top = pairs.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "least"))).filter(F.col("r") <= k + 1)
-    found = top.join(entries.select("key", "ids"), "key").select("query", "score", F.explode("ids").alias("vec_id"))
-    found = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= 2 * (k + 1))
-    mine = asked.join(found, "query").filter("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    pairs = placed.groupBy(*group).cogroup(questions.groupBy(*group)).applyInArrow(_best(k + 1), "q1 long, q2 long, id long, score double")
+    # Ids are distinct before each cut, so k + 1 of them hold the k nearest that are not the query's own.
+    pairs = pairs.groupBy("q1", "q2", "id").agg(F.max("score").alias("score"))
+    found = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k + 1)
+    mine = asked.join(found, ["q1", "q2"]).filter("id != query_id").groupBy("query_id", F.col("id").alias("vec_id")).agg(F.max("score").alias("score"))
     ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
