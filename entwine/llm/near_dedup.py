@@ -10,11 +10,17 @@ The members of buckets that are still in several components go through an exact
 between components that can reach the threshold, and these are tested in the same way; so the components are those of
 all pairs that share a bucket. With 25 bands of 5, a pair at 0.8 shares no bucket with probability 5e-5.
 
+A full set is a set of 64-bit shingle hashes; classes of equal sets are those of equal 128-bit digests of them.
+
+Near-threshold crowds: texts of one mould just under the threshold share frequent shingles, so the prefix filter compares
+them pair by pair, as any exact way has to. The rows of a frequent shingle are dealt into parts of PART rows, so no task
+holds such a group; the work still grows with the square of the crowd (README gives figures).
+
 Defined results. Null and empty texts, and texts of white space: set size 0, linked with nothing, kept. Fewer words than
 k: the whole sequence is the one shingle. Other columns do not matter, whatever their names. An empty table gives an
-empty result. In near_duplicate_rows, which op8 and the pipeline use, every row is a document: rows are linked by their
-texts alone, never by an id that they share or lack, and one row of each component is kept, the first by (doc_id with null
-last, th), any one of equal rows. In near_duplicates rows that share an id are one document, and so are those without one.
+empty result. Every row is a document: rows are linked by their texts alone, never by an id that they share or lack, and one
+row of each component is kept, the first by (doc_id with null last, th), any one of equal rows (ties). Very long texts are
+hashed by tiles; a worker holds their word hashes and set, about 20 bytes a word.
 """
 
 from __future__ import annotations
@@ -24,15 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from entwine.llm.common import binary_column, bytes_of, components, mix, pieces, row_id, shingle_sets, small_batches, stream, text_key, written
+from entwine.llm.common import binary_column, bytes_of, components, mix, pieces, row_id, shingle_sets, stream, table, text_key, written
 
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: A pair whose estimate lies this far below the threshold is not confirmed: over five standard errors at 125 registers.
 MARGIN = 0.2
 NO_ID = -(1 << 62)
+#: Rows of one shingle that a group of the prefix filter holds, about.
+PART = 1024
 
 SKETCHES = "uid long, th long, rid long, n long, s1 long, s2 long, sketch binary, bands array<long>"
 
@@ -145,30 +153,31 @@ def _crossing(unsettled: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     at = at.withColumn("at", F.col("at") + F.col("once")).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     short = F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
     front = written(at.select("h", "node", "comp", "n", "at", short.alias("short")), "front")
-    most = front.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1")
-    most = written(most.select("h", "most"), "most")
-    ask = front.join(most, "h").filter("comp != most").select("h", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("short").alias("sx"))
-    both = ask.filter("sx").join(front, "h").filter("comp != cx AND nx <= n")
-    both = both.unionByName(ask.join(front.filter("short"), "h").filter("comp != cx AND n < nx"))
+    most = front.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.count("*").alias("comps"), F.sum("c").alias("c")).filter("comps > 1")
+    most = written(most.select("h", "most", F.ceil(F.col("c") / PART).cast("int").alias("parts")), "most")
+    # A frequent shingle's rows are dealt into parts; those that ask go to every part of it.
+    ask = front.join(most, "h").filter("comp != most").select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("short").alias("sx"))
+    met = front.join(most.select("h", "parts"), "h").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
+    both = ask.filter("sx").join(met, ["h", "part"]).filter("comp != cx AND nx <= n")
+    both = both.unionByName(ask.join(met.filter("short"), ["h", "part"]).filter("comp != cx AND n < nx"))
     need = F.ceil((F.col("n") + F.col("nx")) * percent / (100 + percent))
     both = both.filter((F.col("at") <= F.col("n") - need + 1) & (F.col("ax") <= F.col("nx") - need + 1) & (F.least("n", "nx") * 100 >= F.greatest("n", "nx") * percent))
     return both.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
 
 
-def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, registers: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Sketches of all rows, the rows of each class of equal sets, a representative of each class, and the components of these."""
-    small_batches(docs.sparkSession)
+def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, registers: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketches of all rows, the classes of equal sets (s1, s2, node, first: the first of their rows), and the components of these."""
     base = docs.select(row_id(id_col).alias("uid"), text_key(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
     numbered = base.select("uid", "th", F.monotonically_increasing_id().alias("rid"), "text")
     sk = written(numbered.mapInArrow(_sketches(shingle, registers, rows), SKETCHES), "sketch")
 
-    # Classes of equal sets; everything after works on one representative of each.
+    # Classes of equal sets (equal 128-bit digests); everything after works on the first row of each. A class's node is its
+    # number in the written table, so that no two classes share one.
     some = sk.filter("n > 0")
-    classes = some.groupBy("s1", "s2").agg(F.min("uid").alias("rep"))
-    members = written(some.select("uid", "th", "s1", "s2").join(classes, ["s1", "s2"]).select("uid", "th", "rep", "s1", "s2").distinct(), "members")
-    # An id with several texts may represent several classes: each is a node of its own, joined through its id below.
-    nodes = members.filter("uid = rep").groupBy("s1", "s2").agg(F.min("th").alias("th"), F.min("rep").alias("rep"))
-    reps = written(some.join(nodes, ["s1", "s2", "th"]).filter("uid = rep").select(F.xxhash64("s1", "s2").alias("node"), "uid", "th", "n", "sketch", "bands").dropDuplicates(["node"]), "reps")
+    first = F.min(F.struct((F.col("uid") == NO_ID).alias("none"), "uid", "th", "rid"))
+    firsts = some.groupBy("s1", "s2").agg(first.alias("first")).withColumn("node", F.monotonically_increasing_id())
+    firsts = written(firsts, "classes")
+    reps = written(some.join(firsts.select("node", F.col("first.rid").alias("rid")), "rid").select("node", "uid", "th", "n", "sketch", "bands"), "reps")
     bands = reps.select("node", F.explode("bands").alias("key"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     met = written(bands.join(sizes, "key"), "met")
@@ -198,17 +207,14 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     rest = written(_crossing(unsettled, texts, shingle, percent), "crossing")
     if rest.limit(1).count():
         label = components(links.unionByName(test(rest, "links-crossing")), "cc-all")
-    return sk, members, reps, label
+    return sk, firsts, label
 
 
 def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, registers: int = 125, rows: int = 5) -> DataFrame:
     """Per row of docs: doc_id, th (tells rows apart that share an id), n_shingles, component_id (the id of the row kept), kept."""
-    sk, _, reps, label = _linked(docs, id_col, text_col, shingle, percent, registers, rows)
+    sk, firsts, label = _linked(docs, id_col, text_col, shingle, percent, registers, rows)
     doc_id = F.when(F.col("uid") != NO_ID, F.col("uid"))
-    first = F.min(F.struct((F.col("uid") == NO_ID).alias("none"), "uid", "th", "rid"))
-    classes = sk.filter("n > 0").groupBy("s1", "s2").agg(first.alias("first"))
-    classes = classes.withColumn("node", F.xxhash64("s1", "s2")).join(label, "node", "left").select("s1", "s2", "first", F.coalesce("component", "node").alias("component"))
-    classes = written(classes, "classes")
+    classes = written(firsts.join(label, "node", "left").select("s1", "s2", "first", F.coalesce("component", "node").alias("component")), "members")
     least = classes.groupBy("component").agg(F.min("first").alias("least"))
     final = classes.join(least, "component").select("s1", "s2", "least")
     out = sk.select("uid", "th", "rid", "n", "s1", "s2").join(final, ["s1", "s2"], "left")
@@ -217,27 +223,5 @@ def near_duplicate_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(doc_id.alias("doc_id"), "th", F.col("n").alias("n_shingles"), component.alias("component_id"), (lone | F.coalesce(F.col("rid") == F.col("least.rid"), F.lit(False))).alias("kept"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, registers: int = 125, rows: int = 5) -> DataFrame:
-    """Per row of docs, with rows of one id as one document: doc_id, n_shingles, component_id, kept."""
-    sk, members, reps, label = _linked(docs, id_col, text_col, shingle, percent, registers, rows)
-
-    # From nodes back to documents; ids with several texts tie their nodes together.
-    tied = reps.select("node", F.col("uid").alias("rep")).join(label, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    of = members.select("uid", F.xxhash64("s1", "s2").alias("node")).distinct().join(tied.select("node", "component"), "node").select("uid", "component").distinct()
-    shared = of.groupBy("uid").agg(F.min("component").alias("b"), F.max("component").alias("a")).filter("a != b")
-    several = of.join(shared.select("uid"), "uid").groupBy("uid").agg(F.min("component").alias("b")).join(of, "uid").select(F.col("component").alias("a"), "b")
-    if several.limit(1).count():
-        more = components(several, "ccids")
-        of = of.join(more.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("uid", F.coalesce("c", "component").alias("component")).distinct()
-    first = of.groupBy("component").agg(F.min(F.when(F.col("uid") != NO_ID, F.col("uid"))).alias("component_id"))
-    final = of.join(first, "component").groupBy("uid").agg(F.min("component_id").alias("component_id"))
-    out = sk.select("uid", "n").join(final, "uid", "left")
-    doc_id = F.when(F.col("uid") != NO_ID, F.col("uid"))
-    component = F.when(F.col("component_id").isNull() & ((F.col("n") == 0) | (F.col("uid") != NO_ID)), doc_id).otherwise(F.col("component_id"))
-    return out.select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), doc_id.eqNullSafe(component).alias("kept"))
-
-
-def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
-    from entwine.llm.common import table
-
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_rows(table(spark, sf_dir, "documents"), shingle=4)
