@@ -12,8 +12,10 @@ Method. A common-prefix-aware distributed merge sort of suffixes, over the few s
    runs to the partition of the gram. There a loser tree merges them, in which a contest compares known common prefix
    lengths first and reads bytes only past them, so no known prefix is compared again. The merged order comes with all
    neighbours' common prefixes; together with those of the left contexts they tell for each window whether another
-   variant holds it too. Of grams with more than HOT segments the windows of the variants are counted by digests
-   instead, so that no task has to hold such a group.
+   variant holds it too. A gram with more than HOT variants is too large a group for one task: its windows are halved by
+   their place around the gram, and each half gets the bytes that all its windows share (200 and more) as its key instead
+   of the gram, again and again until the groups are small; they then go through the same merge. Equal windows always get
+   equal keys. What is left of a half of one place has equal windows, by its key.
 4. Repeated windows go back to all segments of the variant, are joined to their texts, and the union of bytes goes.
 
 Volumes: a row of about 45 bytes per 185 bytes of text; bytes of text travel once for the representatives and once for
@@ -21,7 +23,9 @@ the removal, never once per suffix.
 
 Defined results. Null text is empty. Texts shorter than L lose nothing. Rows are documents of their own, also when ids or
 whole rows repeat (a repeated row of L bytes or more is then removed in both places). Rows without an id are treated
-alike and return a null id. Overlaps count, also of a string with itself at another start. Other columns do not matter.
+alike and return a null id. Overlaps count, also of a string with itself at another start; ties do not arise. Very long texts
+are walked in tiles of TILE bytes; one row holds a text, its segments and what is left. Other columns do not matter. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,10 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entwine.llm.common import PIECE, Rolling, bytes_of, parts, pieces, small_batches, table, text_key, written
+from entwine.llm.common import Rolling, bytes_of, parts, pieces, table, text_key, written
 
 GRAM = 32
 #: Texts longer than this are walked in tiles, which bounds memory.
@@ -43,8 +47,8 @@ TILE = 1 << 21
 RUN = 16 << 20
 #: Runs that one task merges, in bytes before front coding: their number follows the measured number of segments.
 ROUTE = 64 << 20
-#: A gram with more segments than this isn't merged in one task: its windows are counted by digests, which spread.
-HOT = 200_000
+#: Variants that a group of the merge holds at most; larger ones are split by the places of their windows.
+HOT = 50_000
 #: Up to so many variants of a gram are compared as pairs; more by labels of common prefixes, without pairs.
 PAIRWISE = 48
 
@@ -136,7 +140,8 @@ def front_code(entries: list[tuple[bytes, bytes, bytes]]) -> bytes:
     return np.int64(len(entries)).tobytes() + head.tobytes() + b"".join(e[2] for e in entries) + b"".join(rest) + b"".join(e[1] for e in entries)
 
 
-PAYLOAD = 16 + 8 + 4 + 4  # digest, count, windows, place of the gram
+#: Digest, count, windows, place of the gram, first window in the variant; a suffix is led by its group's key of KEY bytes.
+PAYLOAD, KEY = 16 + 8 + 4 + 4 + 4, 8
 
 
 def decode(block: bytes) -> Iterator[tuple[bytes, int, bytes, bytes]]:
@@ -264,8 +269,8 @@ def _runs(length: int, routes: int):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 for s in segs.as_py():
                     a, m, o = s["a"], s["m"], s["o"]
-                    pay = np.array([s["v1"], s["v2"], s["n"]], np.int64).tobytes() + np.array([m, o], np.int32).tobytes()
-                    held.setdefault(s["h"] % routes, []).append((raw[a + o : a + m + length - 1], raw[a : a + o], pay))
+                    pay = np.array([s["v1"], s["v2"], s["n"]], np.int64).tobytes() + np.array([m, o, s["shift"]], np.int32).tobytes()
+                    held.setdefault(s["h"] % routes, []).append((s["h"].to_bytes(KEY, "big", signed=True) + raw[a + o : a + m + length - 1], raw[a : a + o], pay))
                     size += m + length + 200
                     if size > RUN:
                         yield flush()
@@ -287,16 +292,17 @@ def _merged(length: int):
         def settle() -> None:
             if not group:
                 return
-            pay = np.frombuffer(b"".join(x[2] for x in group), np.dtype([("v1", "<i8"), ("v2", "<i8"), ("n", "<i8"), ("m", "<i4"), ("o", "<i4")]))
-            spans = repeated(np.array([x[0] for x in group]), [x[1] for x in group], pay["n"].copy(), pay["m"].astype(np.int64), pay["o"].astype(np.int64), length)
-            rows.extend((int(p["v1"]), int(p["v2"]), int(p["m"]), [{"i": x, "j": y} for x, y in s]) for p, s in zip(pay, spans, strict=True) if s)
+            pay = np.frombuffer(b"".join(x[2] for x in group), np.dtype([("v1", "<i8"), ("v2", "<i8"), ("n", "<i8"), ("m", "<i4"), ("o", "<i4"), ("shift", "<i4")]))
+            spans = repeated(np.array([x[0] - KEY for x in group]), [x[1] for x in group], pay["n"].copy(), pay["m"].astype(np.int64), pay["o"].astype(np.int64), length)
+            # Variants of several segments are repeated as a whole, which is known without the merge.
+            rows.extend((int(p["v1"]), int(p["v2"]), [{"i": x + int(p["shift"]), "j": y + int(p["shift"])} for x, y in s]) for p, s in zip(pay, spans, strict=True) if s and p["n"] == 1)
             group.clear()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())])))], names=["v1", "v2", "spans"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())])))], names=["v1", "v2", "spans"])
 
         for _, lcp, left, pay in merge([decode(x) for x in blocks]):
-            if lcp < GRAM:
+            if lcp < KEY + GRAM:
                 settle()
                 if len(rows) > 5000:
                     yield out()
@@ -330,31 +336,55 @@ def _removed(length: int):
     return run
 
 
-def _windows(length: int):
+SEGMENT = "h long, v1 long, v2 long, n long, uid long, th long, a int, m int, o int, shift int, lo int, hi int"
+_FIELDS = [x.split()[0] for x in SEGMENT.split(", ")]
+
+
+def _halves(length: int):
+    """Segments with the windows of either half of their group's places lo to hi (bytes before the gram), under new keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", PIECE // 64):
-            rows = []
-            for text, segs in zip(b.column("text"), b.column("segs").to_pylist(), strict=True):
+        for b in pieces(batches, "text"):
+            out = []
+            for uid, th, text, segs in zip(b.column("uid").to_pylist(), b.column("th").to_pylist(), b.column("text"), b.column("segs").to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 for s in segs:
-                    for j in range(s["m"]):
-                        rows.append((hashlib.blake2b(raw[s["a"] + j : s["a"] + j + length], digest_size=16).digest(), s["v1"], s["v2"], s["n"], j))
-            w = np.frombuffer(b"".join(r[0] for r in rows), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), *[pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)], pa.array([r[4] for r in rows], pa.int32())], names=["w1", "w2", "v1", "v2", "n", "j"])
+                    gram, mid = s["a"] + s["o"], (s["lo"] + s["hi"]) // 2
+                    for lo, hi in ((s["lo"], mid), (mid + 1, s["hi"])):
+                        first, last = max(lo, s["o"] - s["m"] + 1), min(hi, s["o"])
+                        if first <= last:
+                            shared = raw[gram - lo : gram + length - hi]
+                            key = hashlib.blake2b(shared, digest_size=8, salt=lo.to_bytes(8, "little") + hi.to_bytes(8, "little")).digest()
+                            out.append((int.from_bytes(key, "big", signed=True), s["v1"], s["v2"], s["n"], uid, th, gram - last, last - first + 1, last, s["shift"] + gram - last - s["a"], lo, hi))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32() if i > 5 else pa.int64()) for i in range(len(_FIELDS))], names=_FIELDS)
 
     return run
 
 
-def _counted(base: DataFrame, variants: DataFrame, length: int) -> DataFrame:
-    """(v1, v2, spans) of variants of very frequent grams: their windows are counted by 128-bit digests, in as many tasks as it takes."""
-    wanted = variants.select("r.uid", "r.th", F.struct("r.a", "r.m", "v1", "v2", "n").alias("s")).groupBy("uid", "th").agg(F.collect_list("s").alias("segs"))
-    w = written(base.join(wanted, ["uid", "th"]).select("text", "segs").mapInArrow(_windows(length), "w1 long, w2 long, v1 long, v2 long, n long, j int"), "windows")
-    again = w.groupBy("w1", "w2").agg(F.sum("n").alias("times")).filter("times > 1").select("w1", "w2")
-    # A run of neighbouring windows keeps j minus its place in the order.
-    hit = w.join(written(again, "repeats"), ["w1", "w2"]).select("v1", "v2", "j").distinct()
-    hit = hit.withColumn("run", F.col("j") - F.row_number().over(Window.partitionBy("v1", "v2").orderBy("j")))
-    runs = hit.groupBy("v1", "v2", "run").agg(F.min("j").alias("i"), F.max("j").alias("j"))
-    return runs.groupBy("v1", "v2").agg(F.collect_list(F.struct("i", "j")).alias("spans"))
+def _with_texts(base: DataFrame, segments_: DataFrame, *fields: str) -> DataFrame:
+    """uid, th, text, segs: each text that segments come from, once, with its segments."""
+    wanted = segments_.groupBy("uid", "th").agg(F.collect_list(F.struct(*fields)).alias("segs"))
+    return base.select("uid", "th", "text").join(wanted, ["uid", "th"]).dropDuplicates(["uid", "th"])
+
+
+def _small_groups(base: DataFrame, variants: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """Segments in groups of `hot` at most, which the merge compares, and (v1, v2, spans) of windows that their keys settle."""
+    done, settled, live = [], None, variants
+    while True:
+        large = written(live.groupBy("h").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("h"), "hot")
+        if large.limit(1).count() == 0:
+            done.append(live)
+            break
+        done.append(live.join(large, "h", "left_anti"))
+        over = live.join(large, "h", "left_semi")
+        # Groups of one place: their key is a digest of the whole window.
+        whole = over.filter("lo = hi").select("v1", "v2", F.array(F.struct(F.col("shift").alias("i"), F.col("shift").alias("j"))).alias("spans"))
+        settled = whole if settled is None else settled.unionByName(whole)
+        live = written(_with_texts(base, over.filter("lo < hi"), *[f for f in _FIELDS if f not in ("uid", "th", "h")]).mapInArrow(_halves(length), SEGMENT), "halves")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out, settled
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = HOT) -> DataFrame:
@@ -362,29 +392,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
     spark = docs.sparkSession
-    small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("uid"), text_key(text_col).alias("th"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     anchors = written(base.select("uid", "th", "text").mapInArrow(_anchors(length), ANCHORS), "anchors")
-    grams = anchors.groupBy("h").agg(F.count("*").alias("c"), F.min("v1").alias("lo"), F.max("v1").alias("hi")).filter("c > 1")
+    grams = anchors.groupBy("h").agg(F.count("*").alias("c"), *[f(v).alias(f"{k}{v}") for k, f in (("lo", F.min), ("hi", F.max)) for v in ("v1", "v2")]).filter("c > 1")
     # A table of its own, so that both sides of the join are plain shuffles, whose hot keys Spark can split.
-    grams = written(grams.select("h", (F.col("lo") == F.col("hi")).alias("single"), ((F.col("c") > hot) & (F.col("lo") != F.col("hi"))).alias("hot")), "grams")
+    grams = written(grams.select("h", F.expr("lov1 = hiv1 AND lov2 = hiv2").alias("single")), "grams")
     again = written(anchors.join(grams, "h"), "repeated")
 
-    # Segments that may need a comparison, all taken as variants of their own: the most that the merge can get.
-    routes = max(8, parts(spark), -(-again.filter("not single").count() * (length + 200) // ROUTE))
-    variants = again.filter("not single").groupBy("h", "hot", "v1", "v2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "th", "a", "m", "o")).alias("r"))
-    wanted = variants.filter("not hot").select("r.uid", "r.th", F.struct("r.a", "r.m", "r.o", "h", "v1", "v2", "n").alias("s")).groupBy("uid", "th").agg(F.collect_list("s").alias("segs"))
-    runs = base.join(wanted, ["uid", "th"]).select("text", "segs").mapInArrow(_runs(length, routes), "route int, run binary")
-    settled = runs.repartition(routes, "route").mapInArrow(_merged(length), "v1 long, v2 long, spans array<struct<i:int,j:int>>")
-
-    if grams.filter("hot").limit(1).count():
-        settled = settled.unionByName(_counted(base, variants.filter("hot"), length))
+    variants = again.filter("not single").groupBy("h", "v1", "v2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "th", "a", "m", "o")).alias("r"))
+    variants = variants.select("h", "v1", "v2", "n", "r.*", F.lit(0).alias("shift"), F.lit(0).alias("lo"), F.lit(length - GRAM).alias("hi"))
+    variants = written(variants, "variants")
+    small, settled = _small_groups(base, variants, length, hot)
+    routes = max(8, parts(spark), -(-variants.count() * (length + 200) // ROUTE))
+    runs = _with_texts(base, small, "a", "m", "o", "shift", "h", "v1", "v2", "n").select("text", "segs").mapInArrow(_runs(length, routes), "route int, run binary")
+    merged = runs.repartition(routes, "route").mapInArrow(_merged(length), "v1 long, v2 long, spans array<struct<i:int,j:int>>")
+    merged = merged if settled is None else merged.unionByName(settled)
+    merged = merged.unionByName(variants.filter("n > 1").select("v1", "v2", F.array(F.struct(F.lit(0).alias("i"), (F.col("m") - 1).alias("j"))).alias("spans")))
 
     whole = again.filter("single").select("uid", "th", F.col("a").alias("i"), (F.col("a") + F.col("m") - 1).alias("j"))
-    some = again.filter("not single").join(settled, ["v1", "v2"]).select("uid", "th", "a", F.explode("spans").alias("s")).select("uid", "th", (F.col("a") + F.col("s.i")).alias("i"), (F.col("a") + F.col("s.j")).alias("j"))
-    found = whole.unionByName(some).groupBy("uid", "th").agg(F.collect_list(F.struct("i", "j")).alias("found"))
+    some = again.filter("not single").join(merged, ["v1", "v2"]).select("uid", "th", "a", F.explode("spans").alias("s")).select("uid", "th", (F.col("a") + F.col("s.i")).alias("i"), (F.col("a") + F.col("s.j")).alias("j"))
+    # Sets, as rows that repeat share (uid, th) and would send each span once a copy.
+    found = whole.unionByName(some).groupBy("uid", "th").agg(F.collect_set(F.struct("i", "j")).alias("found"))
     return base.join(found, ["uid", "th"], "left").select("id", "text", "found").mapInArrow(_removed(length), "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    columns = ["doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")]
+    # What is left, as a text: a span may begin or end inside a character, whose other bytes then become U+FFFD.
+    return out.select(*columns, F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
