@@ -48,7 +48,7 @@ def test_components_of_copies_around_the_threshold(spark):
     rows = list(enumerate(texts))
     r.shuffle(rows)
     want = linked(rows, 5)
-    got = {x.doc_id: x for x in near_dedup.near_duplicates(clashing(spark, [(i, t, "s") for i, t in rows])).collect()}
+    got = {x.doc_id: x for x in near_dedup.near_duplicate_rows(clashing(spark, [(i, t, "s") for i, t in rows])).collect()}
     assert {i: x.component_id for i, x in got.items()} == want
     assert all(x.n_shingles == len(sets_of(texts[i], 5)) and x.kept == (x.component_id == i) for i, x in got.items())
     assert len(set(want.values())) < len(rows) - 100
@@ -74,13 +74,34 @@ def test_crossing_finds_every_pair_at_the_threshold(spark):
     assert near_dedup._crossing(alone.filter("node < 40"), mould, 4, 80).count() == 0
 
 
-def test_near_dedup_odd_rows(spark):
-    a, b, c = (" ".join(f"{p}{i}" for i in range(30)) for p in "abc")
-    rows = [(5, a), (5, b), (3, b), (9, c), (9, c), (None, c), (None, "lonely text of seven words in all"), (11, None), (11, "")]
-    got = sorted(((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in near_dedup.near_duplicates(clashing(spark, [(i, t, "s") for i, t in rows])).collect()), key=repr)
-    want = [(3, 26, 3, True), (5, 26, 3, False), (5, 26, 3, False), (9, 26, 9, True), (9, 26, 9, True), (11, 0, 11, True), (11, 0, 11, True), (None, 26, 9, False), (None, 3, 9, False)]
-    assert got == sorted(want, key=repr)
-    assert near_dedup.near_duplicates(clashing(spark, [])).count() == 0
+def test_a_crowd_under_the_threshold_in_parts(spark, monkeypatch):
+    """Texts of one mould at 0.78 of each other, none linked, with a few true copies between: parts of few rows find these."""
+    monkeypatch.setattr(near_dedup, "PART", 8)
+    own = lambda i, n: [f"own{i}-{j}" for j in range(n)]
+    mould = [f"mould{j}" for j in range(80)]
+    texts = [" ".join(mould[:70] + own(i, 9) + mould[70:]) for i in range(60)]
+    texts += [" ".join(mould[:70] + own(i, 9) + mould[70:-1]) for i in range(0, 60, 5)]
+    rows = list(enumerate(texts))
+    want = linked(rows, 5)
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicate_rows(clashing(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got == want and 40 < len(set(want.values())) < 72
+
+
+def test_long_texts_are_hashed_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(common, "TILE", 997)
+    r = random.Random(6)
+    texts = [" ".join("w" * r.randrange(1, 9) + str(r.randrange(10**4)) for _ in range(3000)) + "\n" * 1500, "x" * 5000, "a " * 2500, "b" * 1200 + " c d e f"]
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        both = common.word_hashes(raw, np.array([0, len(raw)]))[0], common.word_hashes(raw, np.array([0, len(raw), len(raw)]))[0]
+        assert (both[0] == both[1]).all() and len(both[0]) == len(t.split())
+
+
+def test_near_dedup_of_a_text_of_megabytes(spark):
+    long = " ".join(f"w{i}" for i in range(700_000))
+    rows = [(3, long), (1, long + " tail"), (2, "other " + long[:3_000_000]), (4, "short text")]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_dedup.near_duplicate_rows(clashing(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got[3] == (1, 699_996) and got[1] == (1, 699_997) and got[2][0] == 2 and got[4] == (4, 1)
 
 
 def test_rows_are_linked_by_text_alone(spark):
@@ -169,6 +190,25 @@ def test_long_texts_go_in_tiles(spark, monkeypatch):
         assert (got[i].n_bytes, len(got[i].spans), hashlib.sha256(got[i].kept).hexdigest()) == (w[0], w[2], w[3])
 
 
+def test_halves_settle_windows_that_all_share(spark):
+    """Groups of more than `hot` variants down to single windows: texts that share one window only, each with a context of its own."""
+    r = random.Random(12)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    for shared in (text(100), text(99), text(130)):
+        texts = [text(r.randrange(60)) + shared + text(r.randrange(60)) for _ in range(12)]
+        got = {x.doc_id: x for x in suffix_dedup.remove_repeats(clashing(spark, [(i, t, "s") for i, t in enumerate(texts)]), length=100, hot=2).collect()}
+        for i, w in enumerate(removed(texts, 100)):
+            assert (got[i].n_bytes, len(got[i].spans), hashlib.sha256(got[i].kept).hexdigest()) == (w[0], w[2], w[3])
+
+
+def test_passages_in_a_text_of_megabytes_and_in_many_equal_rows(spark):
+    r = random.Random(2)
+    long, shared = r.randbytes(2_500_000).hex(), "passage " * 3 + "".join(r.choice("abcdef") for _ in range(500))
+    rows = [(1, long + shared), (2, shared + "end")] + [(3, "x" + shared)] * 50
+    got = suffix_dedup.remove_repeats(clashing(spark, [(i, t, "s") for i, t in rows])).collect()
+    assert sorted((x.doc_id, x.n_bytes, len(x.kept)) for x in got) == sorted([(1, len(long + shared), len(long)), (2, len(shared) + 3, 3)] + [(3, len(shared) + 1, 0)] * 50)
+
+
 def test_passages_of_odd_rows(spark):
     r = random.Random(1)
     x = "".join(r.choice("abcdefg") for _ in range(300))
@@ -179,7 +219,7 @@ def test_passages_of_odd_rows(spark):
 
 def test_merge_gives_sorted_order_and_common_prefixes():
     r = random.Random(3)
-    entries = [(bytes(r.choice(b"ab") for _ in range(r.randrange(1, 30))), b"", bytes(32)) for _ in range(300)]
+    entries = [(bytes(r.choice(b"ab") for _ in range(r.randrange(1, 30))), b"", bytes(suffix_dedup.PAYLOAD)) for _ in range(300)]
     runs = [suffix_dedup.front_code(entries[i::7]) for i in range(7)]
     last, out = b"", []
     for s, lcp, _, _ in suffix_dedup.merge([suffix_dedup.decode(x) for x in runs]):
@@ -219,7 +259,23 @@ def test_stages_by_their_own_input(spark, sf):
 def test_stages_with_odd_rows(spark, sf):
     import corpus_pipeline as p
 
-    docs = clashing(spark, [(None, None, None), (1, "", "s"), (1, "", "s"), (2, "A clean text. It has words.\nAnd lines.", None)])
-    for _, stage in p.STAGES:
-        for rows in (docs, docs.limit(0)):
-            assert stage(spark, rows, sf).count() <= 8
+    clean, other = "A clean text. It has words.\nAnd lines.", " ".join(f"word{i}" for i in range(900_000))
+    rows = [(None, None, None), (1, "", "s"), (1, "", "s"), (2, clean, None), (2, clean, None), (None, clean, "s"), (4, other, "t")]
+    df = clashing(spark, rows)
+    found = lambda out: sorted(((r.doc_id, r.text, r.source) for r in out.collect()), key=repr)
+    stages = dict(p.STAGES)
+    # No label is of these documents, so no rule rejects any.
+    assert found(stages["quality"](spark, df, sf)) == sorted(rows, key=repr)
+    once = found(stages["near_dedup"](spark, df, sf))
+    assert once == sorted([(None, None, None), (1, "", "s"), (1, "", "s"), (2, clean, None), (4, other, "t")], key=repr)
+    assert found(stages["decontamination"](spark, df, sf)) == sorted(rows, key=repr)
+    mixed = found(stages["mixing"](spark, df, sf))
+    assert set(mixed) <= set(rows) - {(None, None, None), (1, "", "s")} and max(mixed.count(x) for x in set(mixed)) <= 4
+    assert found(stages["sharding"](spark, df, sf)) == sorted(rows, key=repr)
+    for name, stage in p.STAGES:
+        out = stage(spark, df, sf)
+        if name != "sharding":
+            assert out.columns == df.columns
+        for r in out.collect():
+            assert (r.lang, r.row, r["a.b"], r.th, r.score) == ("en", "r", "x", 1, 0.5)
+        assert stage(spark, df.limit(0), sf).count() == 0

@@ -54,6 +54,23 @@ def test_quality_odd_rows(spark):
     assert quality.score(df.limit(0), (0.0, []), "doc_id").count() == 0
 
 
+def test_statistics_by_plain_python(spark):
+    import re
+
+    texts = ["", "Plain text, with words. And words.\nSecond line!", "AB | cd | ef\n\nAB AB ab\n", "é Ü 日本 #1 $2\t\n12 12 x", "a  a a\nend.", "!!! ??? ...", " \n ", "one.\ntwo!\nthree?"]
+    for r in quality.statistics(spark.createDataFrame(list(enumerate(texts)), "i int, x string"), "x", "i").collect():
+        t = texts[r.row.i]
+        w, lines = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x], t.split("\n")
+        chars, n = max(len(t), 1), max(len(w), 1)
+        rate = lambda ok: sum(map(ok, t)) / chars
+        want = {
+            "chars": len(t), "words": len(w), "word_length": len(t) / n, "distinct": len(set(w)) / n, "upper": rate(str.isupper), "marks": rate(lambda c: c in "#$%&*@~^_=+<>"), "bars": rate("|".__eq__), "shouts": rate("!".__eq__),
+            "digits": rate(lambda c: c in "0123456789"), "stops": rate(lambda c: c in ".,;:?"), "again": len(re.findall(r"(?<![^\s])(\S+)[ \t]+\1(?![^\s])", t, re.ASCII)) / n, "lines": len(lines), "line_length": chars / len(lines),
+            "distinct_lines": len(set(lines)) / len(lines), "ended_lines": sum(x[-1:] in (".", "!", "?") and x != "" for x in lines) / len(lines),
+        }
+        assert {k: r[f"s_{k}"] for k in want} == pytest.approx(want), t
+
+
 # ---- neighbours
 
 
@@ -96,6 +113,38 @@ def test_neighbours_in_parts_and_slices(spark, monkeypatch):
     assert got == brute(rows, 10, 5)
 
 
+def test_ties_and_ids_of_many_vectors(spark):
+    r = np.random.RandomState(11)
+    v = r.standard_normal(8).astype(np.float32).astype(float)
+    rows = [(i, r.standard_normal(8).tolist()) for i in range(20, 40)] + [(0, v.tolist())]
+    rows += [(10 + i, (v * m).tolist()) for i, m in enumerate((3.0, 7.0, 1.0, 11.0, 9.0, 5.0, 13.0, 6.0))]  # exact multiples: all tie
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((x["rank"], x.vec_id, x.score) for x in ann.nearest(df.repartition(3), every=50).collect() if x.query_id == 0)
+    assert got == [(i + 1, 10 + i, 1.0) for i in range(5)]
+    # One id with many vectors nearer than all others, and the query's own vectors, leave five distinct neighbours.
+    near = [(50, (v + 1e-3 * r.standard_normal(8)).tolist()) for _ in range(40)] + [(0, (v + 1e-3 * r.standard_normal(8)).tolist()) for _ in range(40)]
+    far = rows[:20] + [(0, v.tolist())]
+    out = [x for x in ann.nearest(spark.createDataFrame(far + near, "vec_id long, embedding array<double>"), every=100).collect()]
+    of = {i: np.array([y for j, y in far + near if j == i]) for i, _ in far + near}
+    cos = lambda a, b: max(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)) for x in a for y in b)
+    want = sorted((-cos(of[0], of[i]), i) for i in of if i)[:5]
+    assert [x.vec_id for x in sorted(out, key=lambda x: x["rank"])] == [i for _, i in want] and want[0][1] == 50
+
+
+def test_cosines_are_the_nearest_doubles():
+    from fractions import Fraction
+    from math import isqrt
+
+    r = np.random.RandomState(4)
+    x, y = r.standard_normal((40, 9)), r.standard_normal((40, 9)) * 10.0 ** r.randint(-150, 150, (40, 1))
+    for a, b, c in zip(x, y, ann.cosines(x, y), strict=True):
+        a, b = [Fraction(float(t)) for t in a], [Fraction(float(t)) for t in b]
+        dot, size = sum(p * q for p, q in zip(a, b, strict=True)), sum(p * p for p in a) * sum(p * p for p in b)
+        square = dot * dot / size
+        root = Fraction(isqrt(square.numerator * square.denominator << 400), square.denominator << 200)
+        assert float(root if dot > 0 else -root) == c
+
+
 def test_slices_follow_the_queries_of_a_block():
     r = np.random.RandomState(8)
     u = ann.unit(r.standard_normal((400, 8)))
@@ -164,3 +213,19 @@ def test_tokens_add_up_and_follow_the_rule(spark):
             at += n
         assert [got[i][j] for j in range(len(parts))] == [tuple(w) for w in want] and len(got[i]) == len(parts)
     assert token_counts.count_tokens(clashing(spark, []).limit(0)).count() == 0
+
+
+def test_tokens_of_long_runs_of_white_space(spark):
+    texts = ["a" + "\n" * 1_000_000 + "b", " " * 2_000_000, "word " * 3 + "\t" * 120_000 + " end"]
+    got = token_counts.count_tokens(clashing(spark, [(i, t, "s") for i, t in enumerate(texts)])).groupBy("doc_id").agg(F.sum("n_bytes").alias("b"), F.sum("n_tokens").alias("n"), F.max("section").alias("s")).collect()
+    got = {r.doc_id: r for r in got}
+    for i, t in enumerate(texts):
+        assert got[i].b == len(t) and 0 < got[i].n <= len(t)
+        assert "".join(token_counts.stretches(t)) == t
+    assert got[0].s == 1_000_000
+    assert list(token_counts.stretches(" " * token_counts.STRETCH + "x")) == [" " * token_counts.STRETCH + "x"]
+
+
+def test_tokens_need_a_vocabulary(spark):
+    with pytest.raises(FileNotFoundError, match="vocabulary"):
+        token_counts.count_tokens(clashing(spark, []), vocabulary="/nowhere")

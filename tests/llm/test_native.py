@@ -103,6 +103,34 @@ def test_items_found_by_brute_force(spark):
     assert decontamination.decontaminate(d, it.limit(0)).count() == len(docs)
 
 
+def test_partitions_have_sketches_of_their_own(spark):
+    r = list(range(1, 41))
+    sizes = [decontamination.sketch_size(p) for p in r]
+    needs = [decontamination.need(n, 80) for n in sizes]
+    assert sizes[4:8] == [16, 24, 32, 40] and all(a < b for a, b in zip(needs[4:12], needs[5:13], strict=False)) and all(a < b for a, b in zip(needs, sizes, strict=True))
+    rows = [(i, n, h) for i, n in enumerate((5, 16, 17, 32, 33, 64, 200)) for h in (x * 7919 % 10007 for x in range(1, n + 1))]
+    got = {}
+    for x in decontamination.sketched(spark.createDataFrame(rows, "item long, n long, h long"), 80).collect():
+        got.setdefault(x.item, []).append((x.h, x.partition, x.need))
+    for i, n in enumerate((5, 16, 17, 32, 33, 64, 200)):
+        k = n if n <= 16 else decontamination.sketch_size((n - 1).bit_length())
+        assert sorted(h for h, _, _ in got[i]) == sorted(h for j, _, h in rows if j == i)[:k]
+        assert {(p, t) for _, p, t in got[i]} == {((n - 1).bit_length(), -(-4 * n // 5) if n <= 16 else decontamination.need(k, 80))}
+
+
+def test_sketches_rule_out_and_verification_decides(spark):
+    item = [(1, 100, h) for h in range(100)]
+    sketches = decontamination.sketched(spark.createDataFrame(item, "item long, n long, h long"), 80)
+    holds = lambda share: [h for h in range(100) if h * 37 % 100 < share]
+    docs = [(d, 0, h) for d, share in enumerate((100, 82, 70, 20, 0)) for h in [*holds(share), *range(10_000, 10_050)]]
+    d = spark.createDataFrame(docs, "uid long, th long, h long")
+    likely = decontamination.likely_pairs(d, sketches)
+    met = {x.uid for x in likely.collect()}
+    assert {0, 1} <= met and not {3, 4} & met and 2 in met  # 70 meets the sketch, but is not verified
+    sets = spark.createDataFrame([(1, 9, n, h) for _, n, h in item], "item long, item_id long, n long, h long")
+    assert {x.uid: x.n_common for x in decontamination.verified(likely, d.union(d), sets, 80).collect()} == {0: 100, 1: 82}
+
+
 # ---- chat
 
 
@@ -119,9 +147,27 @@ def test_chat_round_trip_of_control_strings(spark):
         assert [(t.role, t.text) for t in got[c].turns] == [(r, x) for _, r, x in own]
         assert got[c].said == "".join(x for _, r, x in own if r == "assistant")
     assert got[1].formatted.count(chat.START) == 2  # adjacent turns of a role are one message
+    for c in got:
+        raw = got[c].formatted.encode()
+        for x in got[c].loss:
+            assert got[c].formatted[x.start : x.start + x.length] == raw[x.byte_start : x.byte_start + x.byte_length].decode()
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns_takes_time_in_proportion(spark):
+    import time
+
+    n = 40_000
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é<|x"), F.col("id").cast("string")).alias("text"))
+    began = time.time()
+    got = chat.format_chats(rows).select("formatted", "loss", chat.parse(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("said")).first()
+    assert time.time() - began < 40  # a minute and more for a quarter of the turns, if every span is sought from the start
+    assert [t.text for t in got.turns] == [f"é<|x{i}" for i in range(n)]
+    assert got.said == "".join(f"é<|x{i}" for i in range(n) if i % 3)
+    for s in got.loss[::997]:
+        assert got.formatted[s.start :].startswith("é<\\|x") and got.formatted.encode()[s.byte_start :][: s.byte_length].decode() == got.formatted[s.start : s.start + s.length]
+
+
 # ---- lines
 
 
@@ -143,6 +189,25 @@ def test_lines_by_brute_force(spark):
     assert line_dedup.remove_boilerplate(df.limit(0)).count() == 0
 
 
+def test_sketches_come_first_and_exact_counts_only_near_the_limit(spark, monkeypatch):
+    rows = [(h, 0, f"s{i}") for h, sites in ((1, 3), (2, 5), (3, 60), (4, 1), (5, 4)) for i in range(sites) for _ in range(3)]
+    df = spark.createDataFrame(rows, "h1 long, h2 int, site string")
+    often = line_dedup.frequent(df, 4)
+    assert {r.h1 for r in often.collect()} == {1, 2, 3, 5}  # one site, three rows: out by the count of rows
+    assert {r.h1: round(r.estimate) for r in line_dedup.estimates(often).collect()} == pytest.approx({1: 3, 2: 5, 3: 60, 5: 4}, rel=0.05)
+    assert {r.h1 for r in line_dedup.spread(often, 5).collect()} == {2, 3}
+    # An estimate far off decides where it is clear of the limit, and does not where it is near.
+    monkeypatch.setattr(line_dedup, "estimates", lambda x: x.groupBy("h1", "h2").agg(F.when(F.col("h1") == 3, 1.0).when(F.col("h1") == 5, 7.0).otherwise(4.0).alias("estimate")))
+    assert {r.h1 for r in line_dedup.spread(often, 5).collect()} == {2}
+
+
+def test_lines_of_a_text_of_megabytes(spark):
+    lines = [f"line {i % 300_000}" if i % 2 else "menu" for i in range(300_000)]
+    rows = [(1, "\n".join(lines), "s0")] + [(i, f"menu\nown {i}", f"s{i}") for i in range(2, 8)]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in line_dedup.remove_boilerplate(clashing(spark, rows), sites=5).select("doc_id", "n_lines", "n_removed", "kept").collect()}
+    assert got[1] == (300_000, 150_000, "\n".join(x for x in lines if x != "menu")) and got[2] == (2, 1, "own 2")
+
+
 # ---- mixing
 
 
@@ -164,6 +229,21 @@ def test_targets_by_repeated_sharing(spark):
     assert got == pytest.approx(target)
 
 
+def test_targets_of_many_sources(spark):
+    """Sources as hosts: ranks and sums in order by ranges, against plain Python."""
+    sizes = {f"host{i * 7919 % 5003:05d}": 1 + i * 31 % 977 for i in range(3000)} | {None: 400}
+    order = sorted(x for x in sizes if x is not None) + [None]
+    w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    total, left, rest = 1.5 * sum(sizes.values()), 1.5 * sum(sizes.values()), sum(w.values())
+    for s in sorted(sizes, key=lambda s: 2 * sizes[s] / w[s]):
+        if 2 * sizes[s] * rest > left * w[s]:
+            break
+        left, rest = left - 2 * sizes[s], rest - w[s]
+    want = {s: min(2.0 * sizes[s], left / rest * w[s]) for s in sizes}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    assert got == pytest.approx(want) and sum(got.values()) == pytest.approx(total)
+
+
 def test_mix_comes_near_targets(spark):
     rows = [(i, " ".join(["w"] * (1 + i * 7 % 23)), ["a", "b", "c", None][min(i % 6, 3)]) for i in range(600)] + [(None, "x y", "a"), (None, None, "b"), (5000, "", "c"), (5000, "", "c")]
     df = clashing(spark, rows)
@@ -174,6 +254,11 @@ def test_mix_comes_near_targets(spark):
     again = mixing.mix(df.repartition(9)).toPandas()
     assert sorted(got[["size", "taken"]].itertuples(index=False, name=None)) == sorted(again[["size", "taken"]].itertuples(index=False, name=None))
     assert mixing.mix(df.limit(0)).count() == 0
+    long = mixing.mix(clashing(spark, [(1, "w " * 2_000_000, "a"), (2, "w", "b"), (3, None, "b")])).toPandas()
+    assert sorted(long["size"]) == [0, 1, 2_000_000] and (long.times[long["size"] == 0] == 0).all()
+    # Rows of size 0 of a source at its cap are taken 0 times, not as often as the source.
+    caps = mixing.mix(clashing(spark, [(i, None, "b") for i in range(60)] + [(100 + i, "w w", "b") for i in range(5)] + [(200 + i, "x " * 50, "a") for i in range(40)])).toPandas()
+    assert set(caps.times[caps["size"] == 0]) == {0} and caps.times.max() <= mixing.MOST_TIMES and set(caps.times[caps.source == "b"]) == {0, 2}
     empty = mixing.mix(clashing(spark, [(1, None, "a"), (2, " ", None)])).collect()
     assert all(r.target == 0 and r.taken == 0 for r in empty)
 
