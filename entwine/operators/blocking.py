@@ -68,9 +68,9 @@ def pruned(postings: DataFrame, caps: Caps = Caps()) -> DataFrame:
     return postings.join(oversized(postings, caps).select(*KEY), KEY, "left_anti")
 
 
-def candidates(recs: DataFrame, caps: Caps = Caps()) -> DataFrame:
-    """(s1_id, cand_id, mask) of all pairs that share a key."""
-    pairs = query_postings(recs).join(pruned(candidate_postings(recs), caps), KEY)
+def candidates(recs: DataFrame, caps: Caps = Caps(), postings: DataFrame | None = None) -> DataFrame:
+    """(s1_id, cand_id, mask) of all pairs that share a key; postings: pruned ones of the candidates, if they are at hand."""
+    pairs = query_postings(recs).join(pruned(candidate_postings(recs), caps) if postings is None else postings, KEY)
     return pairs.groupBy("s1_id", "cand_id").agg(F.bit_or("channel").alias("mask"))
 
 

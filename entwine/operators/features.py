@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entwine.functions.sets import containment, dice, jaccard, ngrams, overlap, share_of
+from entwine.functions.sets import containment, dice, gram_codes, jaccard, overlap, share_of
 
+# The model's features, in its order.
 MODEL = (
     "name_tok_jac", "name_contain_q", "name_contain_c", "name_char2", "name_char3", "addr_tok_jac", "addr_contain_q", "addr_contain_c", "addr_char2", "addr_char3",
     "num_overlap", "rare_shared", "pool_name_eq", "pool_addr_eq", "pool_both_eq", "pool_ntok_eq", "pool_atok_eq", "pool_addr_any_missing", "is_us",
@@ -14,7 +15,7 @@ MODEL = (
 
 
 def with_grams(recs: DataFrame) -> DataFrame:
-    cols = {f"{c}_c{n}": ngrams(F.col(f"{c}_norm"), n) for c in ("name", "addr") for n in (2, 3)}
+    cols = {f"{c}_c{n}": gram_codes(F.col(f"{c}_norm"), n) for c in ("name", "addr") for n in (2, 3)}
     return recs.select("id", "country", "name_norm", "name_norm_suf", "addr_norm", "addr_missing", "name_toks", "addr_toks", "addr_nums", *[v.alias(k) for k, v in cols.items()])
 
 
@@ -82,9 +83,14 @@ def rare_vocabulary(recs: DataFrame, least: int = 3, most: int = 4000) -> DataFr
     return t.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df").between(least, most))
 
 
+def rare_tokens(recs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, rare): the distinct tokens of a record's name that the vocabulary has, where there are any."""
+    t = recs.select("id", F.explode(F.array_distinct(F.filter(F.split("name_norm_suf", " "), lambda x: x != ""))).alias("token"))
+    return t.join(vocabulary, "token", "left_semi").groupBy("id").agg(F.collect_set("token").alias("rare"))
+
+
 def shared_rare(pairs: DataFrame, recs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(s1_id, cand_id, rare_shared): tokens of the vocabulary that both names have, 0 included."""
-    t = recs.select("id", F.explode(F.array_distinct(F.filter(F.split("name_norm_suf", " "), lambda x: x != ""))).alias("token")).join(vocabulary, "token", "left_semi")
-    own = t.groupBy("id").agg(F.collect_set("token").alias("rare"))
+    own = rare_tokens(recs, vocabulary)
     p = pairs.join(own.select(F.col("id").alias("s1_id"), F.col("rare").alias("a")), "s1_id", "left").join(own.select(F.col("id").alias("cand_id"), F.col("rare").alias("b")), "cand_id", "left")
     return p.select("s1_id", "cand_id", F.coalesce(F.size(F.array_intersect("a", "b")), F.lit(0)).cast("long").alias("rare_shared"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from entwine.plans.running import running
+
 
 def f05(tp: Column, n_pred: Column, n_true: Column) -> Column:
     """F0.5 of one entity; both sets empty is 1."""
@@ -54,10 +56,11 @@ def rule_scores(labelled: DataFrame) -> DataFrame:
 
 
 def auc(df: DataFrame, score: str, label: str, *by: str) -> DataFrame:
-    """Area under the ROC curve by average ranks; rows are first counted by score, so the window runs over distinct scores."""
+    """Area under the ROC curve by average ranks; rows are first counted by score, and the counts summed over ranges of scores."""
     g = df.groupBy(*by, F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
-    w = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = g.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / 2.0)
+    g = running(g, [F.col(c) for c in (*by, "s")], {"before": F.col("n")})
+    first = g.groupBy(*by).agg(F.min("before").alias("first"))  # one row a group
+    g = (g.join(first, list(by)) if by else g.withColumn("first", F.lit(0))).withColumn("rank", F.col("before") - F.col("first") + (F.col("n") + 1) / 2.0)
     a = g.groupBy(*by).agg(F.sum(F.col("rank") * F.col("p")).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     pos, neg = F.col("p"), F.col("n") - F.col("p")
     return a.select(*by, F.when((pos > 0) & (neg > 0), F.round((F.col("u") - pos * (pos + 1) / 2.0) / (pos * neg), 6)).alias("auc"))

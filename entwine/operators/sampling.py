@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entwine.operators.metrics import cardinality
+from entwine.plans.running import running
 
 
 def digest(c: Column, seed: int = 42) -> Column:
@@ -30,9 +31,21 @@ def stratified(entities: DataFrame, truth: DataFrame, fraction: float, seed: int
     """(s1_id, country, bucket): of every country x cardinality stratum max(1, round(n * fraction)) ids in order of the digest."""
     n = truth.groupBy("s1_id").agg(F.count("*").alias("k"))
     s = entities.select("s1_id", "country").join(n, "s1_id", "left").select("s1_id", "country", cardinality(F.coalesce("k", F.lit(0))).alias("bucket"))
-    w = Window.partitionBy("country", "bucket")
-    r = s.withColumn("r", F.row_number().over(w.orderBy(digest(F.col("s1_id"), seed), "s1_id"))).withColumn("n", F.count("*").over(w))
-    return r.filter(F.col("r") <= F.greatest(F.lit(1), F.bround(F.col("n") * fraction))).select("s1_id", "country", "bucket")
+    return _first_of_strata(s, fraction, seed)
+
+
+def _first_of_strata(s: DataFrame, fraction: float, seed: int) -> DataFrame:
+    """Ranks are running totals over ranges of all strata, so that a large stratum is no task of its own."""
+    strata = ["country", "bucket"]
+    r = running(s.withColumn("d", digest(F.col("s1_id"), seed)), [F.col(c) for c in (*strata, "d", "s1_id")], {"before": F.lit(1)})
+    of = r.groupBy(*strata).agg(F.min("before").alias("first"), F.count("*").alias("n"))  # one row a stratum
+    r = r.join(of, strata).filter(F.col("before") - F.col("first") < F.greatest(F.lit(1), F.bround(F.col("n") * fraction)))
+    return r.select("s1_id", "country", "bucket")
+
+
+def nested(entities: DataFrame, truth: DataFrame, fraction: float, mini: float, seed: int = 42) -> DataFrame:
+    """A stratified part of the stratified split, by another digest: a smaller split inside the full one."""
+    return _first_of_strata(stratified(entities, truth, fraction, seed), mini, seed + 1)
 
 
 def random_negatives(recs: DataFrame, most: int = 62_500, seed: int = 42) -> DataFrame:

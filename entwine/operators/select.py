@@ -68,17 +68,29 @@ def top_candidates(pairs: DataFrame, most: int = 50) -> DataFrame:
 def assign(edges: DataFrame, least: float = 0.88, most: int = MOST, rounds: int = 1000) -> DataFrame:
     """Every candidate to one record, every record up to `most`: equal to taking edges greedily in order of (conf desc, s1_id, cand_id).
 
-    Deferred acceptance: candidates ask their best remaining record, records keep their best `most`, refused edges go; until
-    nothing is refused. A round is two windows over edges that stay partitioned by the asking side; refused edges alone
-    travel on.
+    Deferred acceptance: candidates ask their best remaining record, records keep their best `most`, refused candidates ask the
+    next; until nothing is refused. Every candidate's edges are ranked once; a round ranks only the records that are asked in it.
     """
-    live = cut(edges.filter(F.col("conf") >= least).select("s1_id", "cand_id", "conf"))
     by_cand = Window.partitionBy("cand_id").orderBy(F.desc("conf"), "s1_id")
+    live = cut(edges.filter(F.col("conf") >= least).select("s1_id", "cand_id", "conf").withColumn("k", F.row_number().over(by_cand)))
+    asks, kept = live.filter("k = 1"), None
     for _ in range(rounds):
-        ask = live.withColumn("r", F.row_number().over(by_cand)).filter("r = 1").drop("r")
-        ranked = cut(ask.withColumn("r", F.row_number().over(_rank())))
-        refused = ranked.filter(F.col("r") > most).select("s1_id", "cand_id")
+        asked = asks.select("s1_id").distinct()
+        pool = asks if kept is None else asks.unionByName(kept.join(asked, "s1_id", "left_semi"))
+        ranked = cut(pool.withColumn("r", F.row_number().over(_rank())))
+        own = ranked.filter(F.col("r") <= most).drop("r")
+        kept = own if kept is None else cut(own.unionByName(kept.join(asked, "s1_id", "left_anti")))
+        refused = ranked.filter(F.col("r") > most)
         if refused.limit(1).count() == 0:
-            return ranked.filter(F.col("r") <= most).select("s1_id", "cand_id", "conf")
-        live = cut(live.join(refused, ["s1_id", "cand_id"], "left_anti"))
+            return kept.select("s1_id", "cand_id", "conf")
+        asks = cut(live.join(refused.select("cand_id", (F.col("k") + 1).alias("k")), ["cand_id", "k"]).select("s1_id", "cand_id", "conf", "k"))
     raise RuntimeError(f"the assignment did not settle in {rounds} rounds")
+
+
+def assign_sweep(s: DataFrame, thresholds: tuple[float, ...] = (0.85, 0.88)) -> DataFrame:
+    """(least, s1_id, cand_id): assign() under every threshold."""
+    out = None
+    for least in thresholds:
+        one = assign(s, least).select(F.lit(least).alias("least"), "s1_id", "cand_id")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -3,16 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own_dir: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Without it a session in one process gets a folder of its own; a cluster gets an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if where:
+        return where
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_dir:
+        _own_dir.append("file://" + tempfile.mkdtemp(prefix="entwine-"))
+    return _own_dir[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df read back from a checkpoint in the folder of spark.checkpoint.dir. Without it a session in one process gets a folder of its own; a cluster gets an error."""
+    """df as a Parquet table in the shared folder: cuts the lineage, outlives any executor, and later scans read only the columns
+    that they need. It goes when the session ends."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="entwine-"))
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/entwine-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return spark.read.schema(df.schema).parquet(path)
