@@ -31,14 +31,35 @@ def _tests() -> list[tuple[Column, Column | float, int]]:
 
 
 def score(features: DataFrame, first: int = 10) -> DataFrame:
-    """features with conf and tier by the first rules, in one ordered CASE; the native subset is first=6."""
+    """features with conf and tier by the first rules, in one ordered CASE."""
+    return _ruled(features, _tests()[:first])
+
+
+def _ruled(features: DataFrame, tests: list[tuple[Column, Column | float, int]]) -> DataFrame:
     out = None
-    for when, conf, tier in _tests()[:first]:
+    for when, conf, tier in tests:
         value = F.struct((conf if isinstance(conf, Column) else F.lit(conf)).cast("double").alias("conf"), F.lit(tier).alias("tier"))
         out = F.when(when, value) if out is None else out.when(when, value)
     return features.withColumn("rule", out.otherwise(F.struct(F.lit(0.0).alias("conf"), F.lit(0).alias("tier")))).withColumns({"conf": F.col("rule.conf"), "tier": F.col("rule.tier")}).drop("rule")
 
 
+def score_native(features: DataFrame) -> DataFrame:
+    """features with conf and tier by the native variant's six rules, which have fewer alternatives than the first six of score()."""
+    f = F.col
+    jac, c2, c3 = f("name_tok_jac"), f("name_char2"), f("name_char3")
+    ajac, ac2, ac3 = f("addr_tok_jac"), f("addr_char2"), f("addr_char3")
+    number, addr = f("num_overlap") >= 1, f("addr_eq") > 0
+    when = [
+        (f("name_eq") > 0) & (addr | (ajac >= 0.35) | number),
+        addr & ((jac >= 0.30) | (c2 >= 0.40)),
+        ((jac >= 0.65) | (c3 >= 0.70)) & ((ajac >= 0.45) | (ac2 >= 0.60)),
+        number & ((jac >= 0.45) | (c2 >= 0.55)) & ((ajac >= 0.30) | (ac2 >= 0.45)),
+        ((ajac >= 0.50) | (ac3 >= 0.65)) & number & (c2 >= 0.30),
+        ((jac >= 0.55) | (c3 >= 0.60)) & ((ajac >= 0.35) | (ac2 >= 0.50)),
+    ]
+    return _ruled(features, [(w, conf, tier) for w, (_, conf, tier) in zip(when, _tests()[:6], strict=True)])
+
+
 def masks(f: DataFrame) -> dict[str, Column]:
     """Crisp rules by name."""
     c = F.col

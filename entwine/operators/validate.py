@@ -53,9 +53,11 @@ def outside_candidates(matching: DataFrame, cands: DataFrame) -> DataFrame:
     return _listed(matching).join(c, "s1_id", "left").filter(F.size(F.array_except("ids", F.coalesce("c", F.array().cast("array<string>")))) > 0).select("s1_id")
 
 
-def report(matching: DataFrame, cands: DataFrame, s1: DataFrame, known: DataFrame) -> DataFrame:
-    """(check_name, kind, n) of all checks."""
+def report(matching: DataFrame, cands: DataFrame, s1: DataFrame, known: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """(check_name, kind, n) of all checks; those of the header and of malformed rows need the lines (value) of the file."""
     checks = {"duplicate_rows": duplicate_rows(matching), "duplicate_ids": duplicate_ids(matching), "self_matches": self_matches(matching), "wrong_prefix": wrong_prefix(matching), "unknown_ids": unknown_ids(matching, known), "missing_rows": missing_rows(matching, s1), "unexpected_rows": unexpected_rows(matching, s1), "outside_candidates": outside_candidates(matching, cands)}
+    if lines is not None:
+        checks |= {"header": header_errors(lines), "malformed": malformed(lines)}
     out = None
     for name, df in checks.items():
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check_name"), F.lit("warning" if name == "outside_candidates" else "error").alias("kind"), "n")
@@ -63,6 +65,6 @@ def report(matching: DataFrame, cands: DataFrame, s1: DataFrame, known: DataFram
     return out
 
 
-def valid(matching: DataFrame, cands: DataFrame, s1: DataFrame, known: DataFrame) -> bool:
+def valid(matching: DataFrame, cands: DataFrame, s1: DataFrame, known: DataFrame, lines: DataFrame | None = None) -> bool:
     """Whether no check with errors finds a row."""
-    return report(matching, cands, s1, known).filter("kind = 'error' AND n > 0").limit(1).count() == 0
+    return report(matching, cands, s1, known, lines).filter("kind = 'error' AND n > 0").limit(1).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entwine.functions.sets import overlap
+from entwine.functions.sets import jaccard, overlap
 
 r6 = lambda c: F.round(c, 6)
 share = lambda c: r6(F.avg(c.cast("int")))
@@ -39,7 +39,7 @@ def flag_rates(flags: DataFrame, *by: str) -> DataFrame:
     return flags.groupBy(*by).agg(F.count("*").alias("n"), *[share(F.col(x)).alias(x) for x in names], r6(F.avg("nlen_diff")).alias("nlen_diff_mean"), r6(F.percentile("nlen_diff", 0.9)).alias("nlen_diff_p90"))
 
 
-def corruption(pairs: DataFrame) -> DataFrame:
+def corruption(pairs: DataFrame, *keep: str) -> DataFrame:
     """A-02: how names and addresses of truth pairs differ, the first kind that holds."""
 
     def kind(prefix: str, raw: str, empty: list) -> Column:
@@ -52,7 +52,17 @@ def corruption(pairs: DataFrame) -> DataFrame:
         return out.when(both == all_, "order").when((both == small) & (small > 0), "subtoken").otherwise("heavy")
 
     a, b = F.col("q_addr_missing") == 1, F.col("c_addr_missing") == 1
-    return pairs.select("s1_id", "matched_id", "msrc", "q_country", kind("name", "name", []).alias("name_type"), kind("addr", "addr", [(a & b, "both_missing"), (a | b, "missing")]).alias("addr_type"))
+    return pairs.select("s1_id", "matched_id", "msrc", "q_country", kind("name", "name", []).alias("name_type"), kind("addr", "addr", [(a & b, "both_missing"), (a | b, "missing")]).alias("addr_type"), *keep)
+
+
+def corruption_means(pairs: DataFrame) -> DataFrame:
+    """A-02: by kind of difference, overall, by country and by source: pairs and their mean similarities."""
+    sims = {"name_tok_jac": jaccard(F.col("q_name_toks"), F.col("c_name_toks")), "addr_tok_jac": jaccard(F.col("q_addr_toks"), F.col("c_addr_toks")), "num_overlap": overlap(F.col("q_addr_nums"), F.col("c_addr_nums"))}
+    kinds = corruption(pairs.withColumns(sims), *sims)
+    one = lambda kind, name, value: F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("value"), F.lit(name).alias("by_name"), value.alias("by_value"))
+    rows = [one(kind, name, F.lit("") if name == "all" else F.col(name)) for kind in ("name_type", "addr_type") for name in ("all", "q_country", "msrc")]
+    x = kinds.select(*sims, F.explode(F.array(*rows)).alias("x")).select(*sims, "x.*")
+    return x.groupBy("kind", "value", "by_name", "by_value").agg(F.count("*").alias("n"), *[r6(F.avg(c)).alias(f"{c}_mean") for c in sims])
 
 
 def corruption_counts(kinds: DataFrame) -> DataFrame:
@@ -76,6 +86,14 @@ def evidence(labelled: DataFrame) -> DataFrame:
     return t.agg(F.count("*").alias("n"), share(c("name_tok_jac") >= 0.5).alias("gate_name_05"), share(c("addr_tok_jac") >= 0.5).alias("gate_addr_05"), share(c("num_overlap") >= 1).alias("gate_num"), share((c("name_tok_jac") >= 0.5) | (c("addr_tok_jac") >= 0.5) | (c("num_overlap") >= 1)).alias("gate_any"), F.count_if(weak & (c("addr_tok_jac") >= 0.5)).alias("rescued_addr"), F.count_if(weak & (c("num_overlap") >= 1)).alias("rescued_num"))
 
 
+def gates(labelled: DataFrame, features: list[str], cuts: tuple[float, ...]) -> DataFrame:
+    """A-04: true and false pairs that each feature keeps at each threshold."""
+    grid = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(c).alias("cut"), (F.col(f) >= c).alias("kept")) for f in features for c in cuts])
+    x = labelled.select("label", F.explode(grid).alias("x")).select("label", "x.*")
+    label, kept = F.col("label"), F.col("kept")
+    return x.groupBy("feature", "cut").agg(F.count_if(label).alias("n_true"), F.count_if(label & kept).alias("true_kept"), F.count_if(~label & kept).alias("false_kept"))
+
+
 def probes(labelled: DataFrame, named: dict[str, Column]) -> DataFrame:
     """M-06: for each mask its rows and the shares of positives and negatives that it takes."""
     from entwine.operators.rules import unpivoted
@@ -136,6 +154,11 @@ def vocabulary_shift(a: DataFrame, b: DataFrame, column: str = "name_toks") -> D
     return both.groupBy("country").agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count(F.col("a") + F.col("b")).alias("n_both"))
 
 
+def block_overlap(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """A-08: distinct block keys of two record frames and those of both."""
+    return overlap_counts(a, b, column)
+
+
 def country_sources(recs: DataFrame) -> DataFrame:
     return recs.groupBy("country", "src").agg(F.count("*").alias("n")).select("country", F.col("src").cast("int").alias("src"), "n")
 
@@ -184,6 +207,23 @@ def overlap_counts(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return x.agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count(F.col("a") + F.col("b")).alias("n_both"))
 
 
+def split_hygiene(train: DataFrame, test: DataFrame, truth: DataFrame) -> DataFrame:
+    """A-13, A-16: ids that training and test records share, by source, and truth ids among the test records."""
+    frames = [(f"s{s}", train.filter(F.col("src") == s).select("id"), test.filter(F.col("src") == s)) for s in (1, 2, 3)]
+    frames.append(("truth", truth.select(F.col("s1_id").alias("id")), test.filter("src = 1")))
+    out = None
+    for name, a, b in frames:
+        one = overlap_counts(a, b, "id").select(F.lit(name).alias("name"), "n_a", "n_b", "n_both")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def country_shift(train: DataFrame, test: DataFrame) -> DataFrame:
+    """A-16: records by country in both sets; countries that only one has count 0 in the other."""
+    n = lambda df, name: df.groupBy("country").agg(F.count("*").alias(name))
+    return n(train, "n_train").join(n(test, "n_test"), "country", "full").select("country", F.coalesce("n_train", F.lit(0)).alias("n_train"), F.coalesce("n_test", F.lit(0)).alias("n_test"))
+
+
 def table_profile(recs: DataFrame) -> DataFrame:
     """A-14: one row a source: rows, distinct ids, empties, lengths, tokens, non-ASCII shares."""
     q = lambda c, p, n: r6(F.percentile(c, p)).alias(n)

@@ -13,9 +13,10 @@ def write_parquet(df: DataFrame, path: str, *by: str) -> None:
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
-def write_tsv(df: DataFrame, path: str) -> None:
-    """A folder of TSV parts with headers; null is an empty cell and nothing is quoted."""
-    df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+def write_tsv(df: DataFrame, path: str, *by: str) -> None:
+    """A folder of TSV parts with headers; null is an empty cell and nothing is quoted. With `by`, a folder for each of its values."""
+    w = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]).write
+    (w.partitionBy(*by) if by else w).mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def bundle(s1: DataFrame, matches: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -34,6 +35,12 @@ def bundle(s1: DataFrame, matches: DataFrame, candidates: DataFrame) -> tuple[Da
     )
 
 
+def write_bundle(matching: DataFrame, candidate: DataFrame, path: str) -> None:
+    """Both result frames as TSV folders below path."""
+    write_tsv(matching, f"{path}/matching_results.tsv")
+    write_tsv(candidate, f"{path}/candidate_pairs.tsv")
+
+
 def metrics_json(one_row: DataFrame) -> str:
     """A one-row metric frame as a JSON document."""
     return json.dumps(one_row.limit(1).collect()[0].asDict(recursive=True), default=str, sort_keys=True)
