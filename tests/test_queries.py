@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from entwine import pool_queries  # noqa: F401
 from entwine import queries as q
 
 
