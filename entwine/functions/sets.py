@@ -13,17 +13,6 @@ def ngrams(c: Column, n: int, whole: bool = True) -> Column:
     return F.when(length == 0, F.array().cast("array<string>")).when(length < n, F.array(c) if whole else F.array().cast("array<string>")).otherwise(grams)
 
 
-def gram_codes(c: Column, n: int) -> Column:
-    """ngrams(c, n) for n up to 3 as numbers: the code points, 21 bits each, and 0 where a shorter string has none. Equal grams have equal numbers."""
-    up = [F.lit(1 << 21 * (n - 1 - k)).cast("long") for k in range(n)]
-    points = F.transform(F.split(c, ""), lambda x: F.ascii(x).cast("long"))
-    at = lambda p, i, k: F.coalesce(F.get(p, i + k), F.lit(0)) * up[k]
-    code = lambda p, i: sum((at(p, i, k) for k in range(1, n)), at(p, i, 0))
-    codes = lambda p: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(p) - n, F.lit(0))), lambda i: code(p, i)))
-    # In a one-element array, so that the code points are made once and not for every gram.
-    return F.when(F.char_length(c) == 0, F.array().cast("array<long>")).otherwise(F.get(F.transform(F.array(points), codes), F.lit(0)))
-
-
 def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)).cast("double")
 

@@ -73,17 +73,16 @@ def assign(edges: DataFrame, least: float = 0.88, most: int = MOST, rounds: int
     """
     by_cand = Window.partitionBy("cand_id").orderBy(F.desc("conf"), "s1_id")
     live = cut(edges.filter(F.col("conf") >= least).select("s1_id", "cand_id", "conf").withColumn("k", F.row_number().over(by_cand)))
-    asks, kept = live.filter("k = 1"), None
+    ranked = lambda df: df.withColumn("r", F.row_number().over(_rank()))
+    state = cut(ranked(live.filter("k = 1")))
     for _ in range(rounds):
-        asked = asks.select("s1_id").distinct()
-        pool = asks if kept is None else asks.unionByName(kept.join(asked, "s1_id", "left_semi"))
-        ranked = cut(pool.withColumn("r", F.row_number().over(_rank())))
-        own = ranked.filter(F.col("r") <= most).drop("r")
-        kept = own if kept is None else cut(own.unionByName(kept.join(asked, "s1_id", "left_anti")))
-        refused = ranked.filter(F.col("r") > most)
+        kept, refused = state.filter(F.col("r") <= most), state.filter(F.col("r") > most)
         if refused.limit(1).count() == 0:
             return kept.select("s1_id", "cand_id", "conf")
-        asks = cut(live.join(refused.select("cand_id", (F.col("k") + 1).alias("k")), ["cand_id", "k"]).select("s1_id", "cand_id", "conf", "k"))
+        asks = live.join(refused.select("cand_id", (F.col("k") + 1).alias("k")), ["cand_id", "k"]).select("s1_id", "cand_id", "conf", "k")
+        asked = asks.select("s1_id").distinct()
+        again = ranked(asks.unionByName(kept.drop("r").join(asked, "s1_id", "left_semi")))
+        state = cut(again.unionByName(kept.join(asked, "s1_id", "left_anti")))
     raise RuntimeError(f"the assignment did not settle in {rounds} rounds")
 
 

@@ -19,7 +19,7 @@ from entwine.sources import tables
 
 
 class View:
-    """Frames over one folder of tables; each is a plan, but for held, which pair queries read several times."""
+    """Frames over one folder of tables; each is a plan, but for held, which queries over the pool read several times."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -35,8 +35,10 @@ class View:
 
     @cached_property
     def held(self) -> DataFrame:
-        """recs, written once: postings, counts and both sides of pairs read it."""
-        return cut(self.recs)
+        """recs, written once, for plans that read them many times. A scan of few partitions is spread first."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        recs = self.recs
+        return cut(recs.repartition(n, "id") if recs.rdd.getNumPartitions() < n else recs)
 
     @property
     def s1(self) -> DataFrame:
@@ -48,11 +50,11 @@ class View:
 
     @property
     def cands(self) -> DataFrame:
-        return blocking.budgeted(blocking.candidates(self.held))
+        return blocking.budgeted(blocking.candidates(self.recs))
 
     @property
     def feats(self) -> DataFrame:
-        return features.pair_features(self.cands, self.held)
+        return features.pair_features(self.cands, self.recs)
 
     @property
     def labelled(self) -> DataFrame:
