@@ -122,11 +122,14 @@ def test_model_saves_and_scores(spark, sf, tmp_path):
     from entwine.operators import model
     from entwine.queries import View
 
-    lab = View(spark, sf).labelled.withColumn("label", (F.col("label") | (F.col("name_eq") > 0)).cast("int")).cache()
+    lab = View(spark, sf).labelled.withColumn("label", F.col("label").cast("int")).cache()
     m = model.train(lab, trees=3, depth=3)
     model.save(m, str(tmp_path / "m"))
     a, b = (model.predict(x, lab).orderBy("s1_id", "cand_id").select("prob").collect() for x in (m, model.load(str(tmp_path / "m"))))
-    assert a == b and model.trees_table(m).count() == 3
+    trees = model.trees_table(m)
+    assert a == b and trees.select("tree").distinct().count() == 3
+    by_table = [r.prob for r in model.predict_by_table(trees, lab).orderBy("s1_id", "cand_id").collect()]
+    assert by_table == pytest.approx([r.prob for r in a])
     assert metrics.auc(model.predict(m, lab), "prob", "label").first().auc > 0.9
 
 
