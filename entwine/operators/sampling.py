@@ -34,13 +34,19 @@ def stratified(entities: DataFrame, truth: DataFrame, fraction: float, seed: int
     return _first_of_strata(s, fraction, seed)
 
 
-def _first_of_strata(s: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Ranks are running totals over ranges of all strata, so that a large stratum is no task of its own."""
-    strata = ["country", "bucket"]
-    r = running(s.withColumn("d", digest(F.col("s1_id"), seed)), [F.col(c) for c in (*strata, "d", "s1_id")], {"before": F.lit(1)})
+def _ranked(df: DataFrame, strata: list[str], order: list[str]) -> DataFrame:
+    """df with r, a row's rank from 1 within its stratum, and n, the stratum's rows.
+
+    Ranks are running totals over ranges of all strata, so that a large stratum is no task of its own.
+    """
+    r = running(df, [F.col(c) for c in (*strata, *order)], {"before": F.lit(1)})
     of = r.groupBy(*strata).agg(F.min("before").alias("first"), F.count("*").alias("n"))  # one row a stratum
-    r = r.join(of, strata).filter(F.col("before") - F.col("first") < F.greatest(F.lit(1), F.bround(F.col("n") * fraction)))
-    return r.select("s1_id", "country", "bucket")
+    return r.join(of, strata).withColumn("r", F.col("before") - F.col("first") + 1).drop("before", "first")
+
+
+def _first_of_strata(s: DataFrame, fraction: float, seed: int) -> DataFrame:
+    r = _ranked(s.withColumn("d", digest(F.col("s1_id"), seed)), ["country", "bucket"], ["d", "s1_id"])
+    return r.filter(F.col("r") <= F.greatest(F.lit(1), F.bround(F.col("n") * fraction))).select("s1_id", "country", "bucket")
 
 
 def nested(entities: DataFrame, truth: DataFrame, fraction: float, mini: float, seed: int = 42) -> DataFrame:
@@ -51,7 +57,7 @@ def nested(entities: DataFrame, truth: DataFrame, fraction: float, mini: float,
 def random_negatives(recs: DataFrame, most: int = 62_500, seed: int = 42) -> DataFrame:
     """(s1_id, cand_id, msrc): for up to `most` records of a country one of source 2 and one of source 3, by rank of digests."""
     r = recs.select("id", "country", "src", digest(F.col("id"), seed).alias("d"))
-    r = r.withColumn("r", F.row_number().over(Window.partitionBy("country", "src").orderBy("d", "id"))).filter(F.col("r") <= most)
+    r = _ranked(r, ["country", "src"], ["d", "id"]).filter(F.col("r") <= most).drop("n")
     n = r.filter("src > 1").groupBy("country", "src").agg(F.count("*").alias("n"))
     q = r.filter("src = 1").select("country", F.col("id").alias("s1_id"), F.col("r").alias("rq")).join(n, "country").withColumn("r", F.pmod(F.col("rq") - 1, F.col("n")) + 1)
     return q.join(r.select("country", "src", F.col("id").alias("cand_id"), "r"), ["country", "src", "r"]).select("s1_id", "cand_id", F.concat(F.lit("S"), F.col("src").cast("string")).alias("msrc"))

@@ -212,7 +212,6 @@ _MASKS_SQL = {
 }
 MASKS = f"{LAB}, mk AS (" + " UNION ALL ".join(f"SELECT s1_id, cand_id, label, '{k}' AS rule, ({v}) AS pred FROM lab" for k, v in _MASKS_SQL.items()) + ")"
 
-SMALL = blocking.Caps(name=10, name_token=40, number=6, address=4, address_token=10, budget=20)
 _r = lambda c, n: f"round({c}, 6) AS {n}"
 
 Q: dict[str, Callable[[View], DataFrame]] = {}
@@ -257,16 +256,12 @@ for _n, _bit in (("name_exact", 1), ("name_suffix", 2), ("addr_exact", 16), ("na
     add(f"block_{_n}", lambda v, b=_bit: blocking.query_postings(v.recs).filter(F.col("channel") == b).join(blocking.candidate_postings(v.recs).filter(F.col("channel") == b), blocking.KEY).select("s1_id", "cand_id", "key"),
         f"WITH {_blocks()} SELECT q.id AS s1_id, c.id AS cand_id, key FROM qk q JOIN ck c USING (country, ch, key) WHERE ch = {_bit}")
 add("query_vocabulary", lambda v: blocking.query_postings(v.recs).select("channel", "key").distinct(), f"WITH {_blocks()} SELECT DISTINCT ch AS channel, key FROM qk")
-add("block_pruned_keys", lambda v: blocking.oversized(blocking.candidate_postings(v.recs), SMALL), f"WITH {_blocks(SMALL)} SELECT country, ch AS channel, key, size FROM big")
 add("candidates_mask", lambda v: blocking.candidates(v.recs), f"WITH {_blocks()} SELECT s1_id, cand_id, mask FROM allc")
 add("candidates_budget", lambda v: v.cands, f"WITH {_blocks()} SELECT s1_id, cand_id, mask FROM cand")
-add("candidates_small_caps", lambda v: blocking.budgeted(blocking.candidates(v.recs, SMALL), SMALL), f"WITH {_blocks(SMALL)} SELECT s1_id, cand_id, mask FROM cand")
 add("blocking_recall", lambda v: blocking.recall(v.cands, v.truth, v.s1).select("n_true", "n_found", *rounded("recall", "mean_candidates")), f"WITH {_blocks()}, {GT}, {S1}, t AS (SELECT DISTINCT s1_id, matched_id FROM gt) SELECT count(*) AS n_true, count(c.s1_id) AS n_found, round(count(c.s1_id)::DOUBLE / count(*), 6) AS recall, round((SELECT count(*) FROM cand)::DOUBLE / (SELECT count(*) FROM s1), 6) AS mean_candidates FROM t LEFT JOIN cand c ON t.s1_id = c.s1_id AND t.matched_id = c.cand_id")
 _side = lambda v, src, name: v.recs.filter(f"src {src} AND name_norm <> ''").select("country", "name_norm", F.col("id").alias(name))
-add("bounded_key_join", lambda v: blocking.bounded_key_join(_side(v, "= 1", "s1_id"), _side(v, "> 1", "cand_id"), ["country", "name_norm"], 50).select("s1_id", "cand_id"), f"WITH {REC}, k AS (SELECT country, name_norm FROM rec WHERE name_norm <> '' GROUP BY ALL HAVING count(*) FILTER (WHERE src = 1) * count(*) FILTER (WHERE src > 1) <= 50) SELECT q.id AS s1_id, c.id AS cand_id FROM rec q JOIN rec c USING (country, name_norm) JOIN k USING (country, name_norm) WHERE q.src = 1 AND c.src > 1")
-# Blocking and assignment (below) under the operators' own bounds; the queries of small bounds stay as fixtures.
-add("bounded_key_join_full", lambda v: blocking.bounded_key_join(_side(v, "= 1", "s1_id"), _side(v, "> 1", "cand_id"), ["country", "name_norm"]).select("s1_id", "cand_id"))
-add("block_pruned_keys_full", lambda v: blocking.oversized(blocking.candidate_postings(v.recs)), f"WITH {_blocks()} SELECT country, ch AS channel, key, size FROM big")
+add("bounded_key_join", lambda v: blocking.bounded_key_join(_side(v, "= 1", "s1_id"), _side(v, "> 1", "cand_id"), ["country", "name_norm"]).select("s1_id", "cand_id"), f"WITH {REC}, k AS (SELECT country, name_norm FROM rec WHERE name_norm <> '' GROUP BY ALL HAVING count(*) FILTER (WHERE src = 1) * count(*) FILTER (WHERE src > 1) <= 20000) SELECT q.id AS s1_id, c.id AS cand_id FROM rec q JOIN rec c USING (country, name_norm) JOIN k USING (country, name_norm) WHERE q.src = 1 AND c.src > 1")
+add("block_pruned_keys", lambda v: blocking.oversized(blocking.candidate_postings(v.recs)), f"WITH {_blocks()} SELECT country, ch AS channel, key, size FROM big")
 
 # Features
 _g = lambda f, n: lambda v: v.recs.select("id", F.size(sets.ngrams(F.col(f), n)).cast("long").alias("n_grams"), F.array_join(F.sort_array(sets.ngrams(F.col(f), n)), "|").alias("grams"))
@@ -319,8 +314,7 @@ _GREEDY = """e AS (SELECT row_number() OVER (ORDER BY conf DESC, s1_id, cand_id)
       CASE WHEN NOT list_contains(cs, e.cand_id) AND len(list_filter(ss, lambda x: x = e.s1_id)) < {2} THEN list_append(cs, e.cand_id) ELSE cs END,
       CASE WHEN NOT list_contains(cs, e.cand_id) AND len(list_filter(ss, lambda x: x = e.s1_id)) < {2} THEN list_append(ss, e.s1_id) ELSE ss END
     FROM walk w JOIN e ON e.i = w.i + 1)"""
-add("assign_disjoint", lambda v: _pairs(select.assign(v.edges, 0.88, 2)), f"WITH RECURSIVE {EDGES}, {_GREEDY.format('edges', 0.88, 2)} SELECT s1_id, cand_id FROM walk WHERE ok")
-add("assign_disjoint_full", lambda v: _pairs(select.assign(v.edges, 0.88)))
+add("assign_disjoint", lambda v: _pairs(select.assign(v.edges, 0.88)), f"WITH RECURSIVE {EDGES}, {_GREEDY.format('edges', 0.88, 11)} SELECT s1_id, cand_id FROM walk WHERE ok")
 add("assign_scored_85", lambda v: _pairs(select.assign(v.scored, 0.85)), f"WITH RECURSIVE {SCORED}, {_GREEDY.format('scored', 0.85, 11)} SELECT s1_id, cand_id FROM walk WHERE ok")
 add("assign_scored", lambda v: _pairs(select.assign(v.scored)), f"WITH RECURSIVE {SCORED}, {_GREEDY.format('scored', 0.88, 11)} SELECT s1_id, cand_id FROM walk WHERE ok")
 
@@ -352,9 +346,7 @@ add("hash_bucket_sample", lambda v: sampling.hash_sample(v.recs.select("id", "co
 add("hash_head", lambda v: sampling.hash_head(v.recs.select("id"), "id", 50), f"WITH {ENT} SELECT id FROM ent ORDER BY {_D.format('id')}, id LIMIT 50")
 add("stratified_split", lambda v: sampling.stratified(v.s1, v.truth, 0.2), f"WITH {REC}, {GT}, {S1}, k AS (SELECT s1_id, country, {_K} AS bucket FROM (SELECT s1.s1_id, country, count(matched_id) AS n_true FROM s1 LEFT JOIN gt USING (s1_id) GROUP BY ALL)) SELECT s1_id, country, bucket FROM k QUALIFY row_number() OVER (PARTITION BY country, bucket ORDER BY {_D.format('s1_id')}, s1_id) <= greatest(1, round_even(count(*) OVER (PARTITION BY country, bucket) * 0.2::DOUBLE, 0))")
 add("stratified_mini", lambda v: sampling.nested(v.s1, v.truth, 0.4, 0.5).select("s1_id"), f"WITH {REC}, {GT}, {S1}, k AS (SELECT s1_id, country, {_K} AS bucket FROM (SELECT s1.s1_id, country, count(matched_id) AS n_true FROM s1 LEFT JOIN gt USING (s1_id) GROUP BY ALL)), f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY country, bucket ORDER BY {_D.format('s1_id')}, s1_id) <= greatest(1, round_even(count(*) OVER (PARTITION BY country, bucket) * 0.4::DOUBLE, 0))) SELECT s1_id FROM f QUALIFY row_number() OVER (PARTITION BY country, bucket ORDER BY {_D.format('s1_id').replace('42:', '43:')}, s1_id) <= greatest(1, round_even(count(*) OVER (PARTITION BY country, bucket) * 0.5::DOUBLE, 0))")
-add("random_negatives", lambda v: sampling.without_matches(sampling.random_negatives(v.recs, 100), v.truth).select("s1_id", "cand_id", "msrc"), f"WITH {REC}, {GT}, r AS (SELECT id, country, src, row_number() OVER (PARTITION BY country, src ORDER BY {_D.format('id')}, id) AS r FROM rec QUALIFY r <= 100), n AS (SELECT country, src, count(*) AS n FROM r WHERE src > 1 GROUP BY ALL), p AS (SELECT q.id AS s1_id, c.id AS cand_id, 'S' || c.src AS msrc FROM r q JOIN n USING (country) JOIN r c ON c.country = q.country AND c.src = n.src AND c.r = (q.r - 1) % n.n + 1 WHERE q.src = 1) SELECT s1_id, cand_id, msrc FROM p ANTI JOIN gt ON p.s1_id = gt.s1_id AND p.cand_id = gt.matched_id")
-# The same under the operator's own bound of 62,500; random_negatives keeps the bound of 100, as a fixture.
-add("random_negatives_full", lambda v: sampling.without_matches(sampling.random_negatives(v.recs), v.truth).select("s1_id", "cand_id", "msrc"), SQL["random_negatives"].replace("QUALIFY r <= 100", "QUALIFY r <= 62500"))
+add("random_negatives", lambda v: sampling.without_matches(sampling.random_negatives(v.recs), v.truth).select("s1_id", "cand_id", "msrc"), f"WITH {REC}, {GT}, r AS (SELECT id, country, src, row_number() OVER (PARTITION BY country, src ORDER BY {_D.format('id')}, id) AS r FROM rec QUALIFY r <= 62500), n AS (SELECT country, src, count(*) AS n FROM r WHERE src > 1 GROUP BY ALL), p AS (SELECT q.id AS s1_id, c.id AS cand_id, 'S' || c.src AS msrc FROM r q JOIN n USING (country) JOIN r c ON c.country = q.country AND c.src = n.src AND c.r = (q.r - 1) % n.n + 1 WHERE q.src = 1) SELECT s1_id, cand_id, msrc FROM p ANTI JOIN gt ON p.s1_id = gt.s1_id AND p.cand_id = gt.matched_id")
 
 # Analytics
 _PAIR = f"{REC}, {GT}, pr AS (SELECT gt.*, q.country AS q_country, q, c FROM gt JOIN rec q ON q.id = s1_id JOIN rec c ON c.id = matched_id)"

@@ -155,24 +155,24 @@ def large_blocks(spark, tmp_path_factory):
     return str(path)
 
 
-def test_full_random_negatives_are_not_cut_at_100(spark, large_blocks):
+def test_random_negatives_are_not_cut_at_100(spark, large_blocks):
     from entwine import queries
 
-    got = queries.queries()["random_negatives_full"](spark, large_blocks).collect()
+    got = queries.queries()["random_negatives"](spark, large_blocks).collect()
     assert len(got) == 260 and len({r.s1_id for r in got}) == 130 and len({r.cand_id for r in got}) == 260
 
 
-def test_full_key_join_keeps_blocks_over_50_pairs(spark, large_blocks):
+def test_key_join_keeps_blocks_over_50_pairs(spark, large_blocks):
     from entwine import queries
 
-    got = {(r.s1_id, r.cand_id) for r in queries.queries()["bounded_key_join_full"](spark, large_blocks).collect()}
+    got = {(r.s1_id, r.cand_id) for r in queries.queries()["bounded_key_join"](spark, large_blocks).collect()}
     ids = [(i // 39, 1 + i % 3, f"S{1 + i % 3}-{i}") for i in range(390)]
     assert got == {(q, c) for g, s, q in ids if s == 1 for h, t, c in ids if t > 1 and g == h}
 
 
-def test_full_assignment_equals_greedy_by_11(spark, sf):
+def test_assignment_equals_greedy_by_11(spark, sf):
     from entwine import queries
 
     edges = [(r.s1_id, r.cand_id, r.conf) for r in queries.View(spark, sf).edges.select("s1_id", "cand_id", "conf").collect()]
-    got = {(r.s1_id, r.cand_id) for r in queries.queries()["assign_disjoint_full"](spark, sf).collect()}
+    got = {(r.s1_id, r.cand_id) for r in queries.queries()["assign_disjoint"](spark, sf).collect()}
     assert got == greedy(edges, 0.88, 11) != greedy(edges, 0.88, 2)

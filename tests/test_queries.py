@@ -7,6 +7,7 @@ import pytest
 
 from entwine import pool_queries  # noqa: F401
 from entwine import queries as q
+from entwine.operators import blocking
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +32,21 @@ def test_query_equals_sql(spark, sf, con, name):
     assert rows(got) == rows(want)
 
 
+SMALL = blocking.Caps(name=1, name_token=3, number=1, address=1, address_token=2, budget=3)
+
+
+@pytest.mark.parametrize("what", ["pruned", "kept"])
+def test_caps_that_bind_equal_sql(spark, sf, con, what):
+    recs = q.View(spark, sf).recs
+    got = {
+        "pruned": blocking.oversized(blocking.candidate_postings(recs), SMALL),
+        "kept": blocking.budgeted(blocking.candidates(recs, SMALL), SMALL),
+    }[what].toPandas()
+    sql = {"pruned": "SELECT country, ch AS channel, key, size FROM big", "kept": "SELECT s1_id, cand_id, mask FROM cand"}[what]
+    want = con.execute(f"WITH {q._blocks(SMALL)} {sql}").df()
+    assert len(got) and rows(got) == rows(want)
+
+
 def test_plans_have_no_nested_loops_and_push_down(spark, sf):
     for name in ("candidates_budget", "rule_scores", "policy_c", "fast_baseline_matches"):
         plan = q.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
