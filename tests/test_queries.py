@@ -1,6 +1,9 @@
 """Every query with SQL against it, on the smallest tables; plans of the main ones."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -56,10 +59,17 @@ def test_plans_have_no_nested_loops_and_push_down(spark, sf):
 
 
 def test_the_rest_imports_without_the_subpackage(tmp_path):
-    import subprocess
-    import sys
-
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    code = "import sys; sys.modules['entwine.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()))"
-    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    shutil.copytree(f"{root}/entwine", tmp_path / "entwine", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True)
     assert out.returncode == 0 and int(out.stdout) == len(q.Q)
+
+
+def test_a_broken_subpackage_is_not_hidden(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    shutil.copytree(f"{root}/entwine", tmp_path / "entwine", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "corpus_pipeline.py").write_text("import a_package_that_is_not_there")
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True)
+    assert out.returncode != 0 and "a_package_that_is_not_there" in out.stderr
