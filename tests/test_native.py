@@ -1,4 +1,4 @@
-"""Dice of the native variant in blocks, against a table of all pairs."""
+"""Dice of the native variant in blocks, and the baseline's lists, against a table of all pairs."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from entwine import pool_queries
 from entwine import queries as q
 from entwine.functions import sets, text
-from entwine.operators import native
+from entwine.operators import native, select
+from entwine.plans import baseline
 
 
 def brute(v):
@@ -50,3 +51,16 @@ def test_ids_that_repeat(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = q.queries()["native_dice"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, brute(q.View(spark, str(tmp_path))).collect())) != []
+
+
+@pytest.mark.parametrize("view", [q.View, pool_queries.Worded])
+@pytest.mark.parametrize("most", [1, 3, 50])
+def test_baseline_lists_need_no_table_of_all_pairs(spark, folder, view, most, monkeypatch):
+    recs = view(spark, folder).recs
+    recs = recs.unionByName(recs.filter("id like '%4'").withColumn("name_norm_suf", F.lit("acme ltd")))  # ids that repeat, with other keys
+    pairs = baseline.joined(recs)
+    monkeypatch.setattr(baseline, "joined", None)
+    cols = ["s1_id", "cand_id", "conf"]
+    for got, want in ((baseline.first_candidates(recs, most), select.top_candidates(pairs, most)), (baseline.best_records(recs, most), select.one_pass(pairs, most))):
+        assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect())) != []
+    assert baseline.baseline(recs)[1].count() == recs.filter("src = 1").count()
