@@ -21,3 +21,8 @@ def folder(spark, tmp_path_factory):
 def test_training_pool_is_whole(spark, folder):
     got = q.queries()["training_pool"](spark, folder).groupBy("channel", "msrc").agg(F.count("*"), F.count_distinct("s1_id", "cand_id")).collect()
     assert sorted(map(tuple, got)) == [("n_random", "S2", N, N), ("n_random", "S3", N, N)]
+
+
+def test_a01b_pool_separation_counts_the_whole_pool(spark, folder):
+    got = q.queries()["a01b_pool_separation"](spark, folder).select("label", "n").distinct().collect()
+    assert list(map(tuple, got)) == [(False, 2 * N)]
