@@ -26,3 +26,8 @@ def test_training_pool_is_whole(spark, folder):
 def test_a01b_pool_separation_counts_the_whole_pool(spark, folder):
     got = q.queries()["a01b_pool_separation"](spark, folder).select("label", "n").distinct().collect()
     assert list(map(tuple, got)) == [(False, 2 * N)]
+
+
+def test_a03_ambiguity_channels_counts_the_whole_pool(spark, folder):
+    got = q.queries()["a03_ambiguity_channels"](spark, folder).select("channel", "n").collect()
+    assert list(map(tuple, got)) == [("n_random", 2 * N)]
