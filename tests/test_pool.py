@@ -31,3 +31,7 @@ def test_a01b_pool_separation_counts_the_whole_pool(spark, folder):
 def test_a03_ambiguity_channels_counts_the_whole_pool(spark, folder):
     got = q.queries()["a03_ambiguity_channels"](spark, folder).select("channel", "n").collect()
     assert list(map(tuple, got)) == [("n_random", 2 * N)]
+
+
+def test_training_flags_are_of_the_whole_pool(spark, folder):
+    assert q.queries()["training_flags"](spark, folder).count() == 2 * N
