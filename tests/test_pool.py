@@ -35,3 +35,7 @@ def test_a03_ambiguity_channels_counts_the_whole_pool(spark, folder):
 
 def test_training_flags_are_of_the_whole_pool(spark, folder):
     assert q.queries()["training_flags"](spark, folder).count() == 2 * N
+
+
+def test_training_features_are_of_the_whole_pool(spark, folder):
+    assert q.queries()["training_features"](spark, folder).count() == 2 * N
