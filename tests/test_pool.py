@@ -39,3 +39,10 @@ def test_training_flags_are_of_the_whole_pool(spark, folder):
 
 def test_training_features_are_of_the_whole_pool(spark, folder):
     assert q.queries()["training_features"](spark, folder).count() == 2 * N
+
+
+def test_training_features_make_each_set_once_a_pair(spark, sf):
+    plan = q.queries()["training_features"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    pairs = plan[: plan.index("Join")]  # what is computed on pairs
+    assert pairs.count("transform(sequence(") == 8  # grams of two lengths, of names and addresses, on both sides
+    assert pairs.count("array_intersect(") == 8  # six kinds of sets, numbers, rare tokens
