@@ -46,3 +46,8 @@ def test_training_features_make_each_set_once_a_pair(spark, sf):
     pairs = plan[: plan.index("Join")]  # what is computed on pairs
     assert pairs.count("transform(sequence(") == 8  # grams of two lengths, of names and addresses, on both sides
     assert pairs.count("array_intersect(") == 8  # six kinds of sets, numbers, rare tokens
+
+
+def test_a01b_pool_separation_makes_its_pairs_once(spark, sf):
+    plan = q.queries()["a01b_pool_separation"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" in plan and "array_intersect(" not in plan  # means and quantiles read the written rows, as the AUC does
