@@ -217,6 +217,28 @@ def test_passages_of_odd_rows(spark):
     assert suffix_dedup.remove_repeats(clashing(spark, [])).count() == 0
 
 
+def test_query_on_planted_passages_and_clean_documents(spark, tmp_path):
+    """The contract's columns at its 400 bytes. n_bytes is the input's size whatever goes; n_removed and kept_sha256 tell what went."""
+    r = random.Random(9)
+    text = lambda n: " ".join("".join(r.choice("abcdefghéß日") for _ in range(r.randrange(2, 12))) for _ in range(n))
+    planted = [text(70) for _ in range(8)]
+    texts = [text(r.randrange(1, 90)) + f" <{k}> " + p + f" <{k}> " + text(r.randrange(60)) for p in planted for k in range(r.randrange(2, 5))]
+    edge = {n: "".join(r.choice("abcdefgh ") for _ in range(n)) for n in (398, 399, 400, 401)}
+    clean = [text(r.randrange(120)) for _ in range(20)] + [x + edge[399] + y for x, y in (("k", "l"), ("m", "n"))] + ["", None]
+    # A start and an end inside characters: their shared bytes go, so that 398 bytes and two of those are 400.
+    cut = ["é" + edge[398] + "日1", "©" + edge[398] + "文2", "u" + edge[400] + "v", "x" + edge[400] + "y", "u" + edge[401] + "v", "x" + edge[401] + "y"]
+    cut += ["é" + edge[398][::-1] + "日", "©" + edge[398][::-1] + "旦"]
+    rows = texts + clean + cut
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = suffix_dedup.op9_suffix_dedup(spark, str(tmp_path))
+    assert out.dtypes[:5] == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
+    got = {x.doc_id: x for x in out.collect()}
+    assert {i: tuple(x[1:5]) for i, x in got.items()} == dict(enumerate(removed(rows, 400)))
+    assert all(len(p.split()) > 50 and not any(p in x.text for x in got.values()) for p in planted)
+    assert all(x.n_removed >= 400 and x.n_bytes == len(rows[i].encode()) for i, x in got.items() if i < len(texts))
+    assert all(got[len(texts) + i].n_removed == 0 and got[len(texts) + i].text == (t or "") for i, t in enumerate(clean))
+
+
 def test_merge_gives_sorted_order_and_common_prefixes():
     r = random.Random(3)
     entries = [(bytes(r.choice(b"ab") for _ in range(r.randrange(1, 30))), b"", bytes(suffix_dedup.PAYLOAD)) for _ in range(300)]
